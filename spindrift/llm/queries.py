@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import neighbours
+from spindrift.llm import clusters, mixture, neighbours, quantiles
+from spindrift.llm.tokens import vocabulary
 from spindrift.llm.vector_tables import current_vectors, recorded_vectors
+from spindrift.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -13,5 +16,57 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return neighbours.pairs_at_least(found)
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    found = clusters.clusters(current_vectors(spark, directory))
+    return found.select("collection", found.id.alias("vector_id"), "first_id")
+
+
+def p2_described(spark: SparkSession, directory: str) -> DataFrame:
+    return clusters.described(clusters.clusters(current_vectors(spark, directory)))
+
+
+def p5_percentiles(spark: SparkSession, directory: str) -> DataFrame:
+    """Latency percentiles by collection of both tables, from the sketches of their tasks."""
+    asked = table(spark, directory, "recorded_queries").select("collection", F.lit("latency_ms").alias("measure"), F.col("latency_ms").alias("value"))
+    again = table(spark, directory, "replay_results").select("collection", F.lit("new_latency_ms").alias("measure"), F.col("new_latency_ms").alias("value"))
+    keys = ["measure", "collection"]
+    whole = quantiles.merged(quantiles.sketches(asked.unionByName(again), keys, "value"), keys)
+    return quantiles.percentiles(whole, keys, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+
+
+def p5_by_month(spark: SparkSession, directory: str) -> DataFrame:
+    """Sketches of single days, combined to months."""
+    rows = table(spark, directory, "recorded_queries").select(F.to_date("recorded_at").alias("day"), "latency_ms")
+    days = quantiles.merged(quantiles.sketches(rows, ["day"], "latency_ms"), ["day"])
+    months = quantiles.merged(days.select(F.trunc("day", "month").alias("month"), "n", "sketch"), ["month"])
+    return quantiles.percentiles(months, ["month"], {"p50": 0.5, "p99": 0.99})
+
+
+def _mixture(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    counts = cut(mixture.token_counts(table(spark, directory, "documents"), vocabulary()))
+    plan = cut(mixture.plan(counts, table(spark, directory, "mix_targets")))
+    return mixture.mixed(counts, plan), plan
+
+
+def p8_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    """The mixture itself: each use of a document is a row with its text."""
+    used, _ = _mixture(spark, directory)
+    uses = used.select(F.col("id").alias("doc_id"), "source", "n_tokens", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return uses.join(table(spark, directory, "documents").select("doc_id", "text"), "doc_id")
+
+
+def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
+    used, plan = _mixture(spark, directory)
+    return mixture.shares(used, plan)
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_described": p2_described,
+    "p5_percentiles": p5_percentiles,
+    "p5_by_month": p5_by_month,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+}
 ORACLE: dict[str, str] = {}
