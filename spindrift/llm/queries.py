@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import clusters, mixture, neighbours, quantiles
+from spindrift.llm import clusters, leaks, mixture, neighbours, quantiles, sentences
 from spindrift.llm.tokens import vocabulary
 from spindrift.llm.vector_tables import current_vectors, recorded_vectors
 from spindrift.runtime import cut, table
@@ -60,13 +60,29 @@ def p8_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixture.shares(used, plan)
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    return leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, directory: str) -> DataFrame:
+    """Also pairs whose shared runs of five words and more cover half of the item, in whatever order."""
+    return leaks.leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"), seed=5, seed_letters=10, coverage=0.5)
+
+
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, directory, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_described": p2_described,
     "p5_percentiles": p5_percentiles,
     "p5_by_month": p5_by_month,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 ORACLE: dict[str, str] = {}
