@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import clusters, leaks, mixture, neighbours, quantiles, sentences
+from spindrift.llm import answers, clusters, leaks, mixture, neighbours, quantiles, sentences
 from spindrift.llm.tokens import vocabulary
 from spindrift.llm.vector_tables import current_vectors, recorded_vectors
 from spindrift.runtime import cut, table
@@ -25,6 +25,10 @@ def p2_described(spark: SparkSession, directory: str) -> DataFrame:
     return clusters.described(clusters.clusters(current_vectors(spark, directory)))
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    return answers.defects(table(spark, directory, "cache_entries"))
+
+
 def p5_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     """Latency percentiles by collection of both tables, from the sketches of their tasks."""
     asked = table(spark, directory, "recorded_queries").select("collection", F.lit("latency_ms").alias("measure"), F.col("latency_ms").alias("value"))
@@ -79,6 +83,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_described": p2_described,
+    "p3_found": p3_found,
     "p5_percentiles": p5_percentiles,
     "p5_by_month": p5_by_month,
     "p7_found": p7_found,
