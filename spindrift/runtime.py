@@ -73,3 +73,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
     The rows are counted first (and only up to the bound), so ``df`` should be cheap to compute."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``one``, a table of one row (an aggregate without keys), which is broadcast."""
+    return rows.join(F.broadcast(one.limit(1)), F.lit(True))
