@@ -143,6 +143,18 @@ def _equal(path: str, value: Any, fields: Typed | Json) -> Column:
     return (fields.kind(path) == ("array" if isinstance(value, list) else "object")) & (fields.text(path) == json.dumps(value, separators=(",", ":")))
 
 
+def _any_of(path: str, values: list, fields: Typed | Json) -> Column:
+    """Whether the field equals one of the values; numbers and texts are tested as one set each."""
+    numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    texts = [v for v in values if isinstance(v, str)]
+    tests = [_equal(path, v, fields) for v in values if v is None or not isinstance(v, (int, float, str)) or isinstance(v, bool)]
+    if numbers:
+        tests.append((fields.kind(path) == "number") & fields.number(path).isin(numbers))
+    if texts:
+        tests.append((fields.kind(path) == "string") & fields.text(path).isin(texts))
+    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
+
+
 def _number(value: Any, op: str) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         raise FilterError(f"{op} takes a number")
@@ -176,7 +188,7 @@ def _leaf(path: str, op: str, value: Any, fields: Typed | Json, depth: int) -> C
         low, high = _list(value, op)
         test = fields.number(path).between(_number(low, op), _number(high, op))
     elif op in ("$in", "$nin"):
-        any_of = reduce(lambda a, b: a | b, [F.coalesce(_equal(path, v, fields), F.lit(False)) for v in _list(value, op)], F.lit(False))
+        any_of = _any_of(path, _list(value, op), fields)
         test = any_of if op == "$in" else there & ~any_of
     elif op == "$contains":
         wanted = value if isinstance(value, str) else json.dumps(value)

@@ -23,13 +23,17 @@ def words(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     return F.coalesce(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(list(stop))), F.array().cast("array<string>"))
 
 
+def _times(term: str) -> Column:
+    return F.size(F.filter("w", lambda x: x == term))
+
+
 def bm25(documents: DataFrame, query: Sequence[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score (> 0) of the documents that hold a query word: sum of ln((N - df + .5)/(df + .5) + 1) and the saturated frequency.
 
     The words of the query are a literal, so that only their counts leave the scan; document frequencies, N and the mean length come from one
     aggregation over it. A repeated query word counts as often."""
     terms = sorted(set(query))
-    counted = documents.select(F.col(id), words(F.col(text)).alias("w")).select(id, F.size("w").alias("length"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = documents.select(F.col(id), words(F.col(text)).alias("w")).select(id, F.size("w").alias("length"), *[_times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("N"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     rows = beside(counted, stats)
     score = F.lit(0.0)
