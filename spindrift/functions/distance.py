@@ -133,8 +133,10 @@ def distance(name: str, v: Column, q: Vector) -> Column:
     if kind == "l1":
         return _sum(_terms(v, q, lambda a, b: F.abs(a - b)))
     if kind == "hamming":
-        return _sum(_terms(v, q, lambda a, b: F.when((a != 0) != (b != 0), 1.0).otherwise(0.0)))
-    return _max(_terms(v, q, lambda a, b: F.abs(a - b)))
+        far = _sum(_terms(v, q, lambda a, b: F.when((a != 0) != (b != 0), 1.0).otherwise(0.0)))
+        return far if isinstance(q, Column) else F.when(F.size(v) == len(q), far)
+    far = _max(_terms(v, q, lambda a, b: F.abs(a - b)))
+    return far if isinstance(q, Column) else F.when(F.size(v) == len(q), far)
 
 
 def normalized(v: Column) -> Column:
