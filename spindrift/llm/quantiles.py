@@ -132,6 +132,7 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
         held: dict[tuple, int] = {}
         table = np.zeros((0, SIZE), np.int64)
         waiting: list[pa.RecordBatch] = []
+        types: list[pa.DataType] = []
 
         def take() -> None:
             nonlocal table
@@ -156,7 +157,7 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
         def out() -> pa.RecordBatch:
             nonlocal table
             names = list(held)
-            columns = [pa.array([n[i] for n in names]) for i in range(len(fields))]
+            columns = [pa.array([n[i] for n in names], types[i]) for i in range(len(fields))]
             columns += [pa.array(table[:, :WIDTH].sum(1)), pa.array([_pack(x) for x in table], pa.binary())]
             held.clear()
             table = np.zeros((0, SIZE), np.int64)
@@ -165,6 +166,7 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
         size = 0
         for batch in batches:
             waiting.append(batch)
+            types = [batch.schema.field(name).type for name in fields]
             size += len(batch)
             if size >= GATHERED:
                 take()
