@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.functions.distance import distance, normalized
-from spindrift.operators import aggregates, fusion, graph, quantize, search, sparse
+from spindrift.operators import aggregates, extras, fusion, graph, quantize, search, sparse
 from spindrift.plans import ql
 from spindrift.runtime import cut, small, table
 
@@ -581,3 +581,62 @@ x AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) SE
 def graph_fused_search(spark, directory):
     hits = search.top_k(vectors(spark, directory), vector_of(spark, directory), 15).select(F.col("vec_id").alias("node"), "distance")
     return graph.fused_search(cut(hits), _edges(spark, directory), 2, 10).select("node", F.round("score", 5).alias("score"), "hop")
+
+
+# ---- further operators ---------------------------------------------------------------------------------------------------
+
+
+@query("semantic_cache", _BATCH + " SELECT query_id, vec_id, round(1 - d, 6) AS similarity FROM p WHERE label >= 5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) = 1")
+def semantic_cache(spark, directory):
+    rows = vectors(spark, directory)
+    return extras.cached_answers(rows.where("label >= 5"), _asked(rows), -1.0).select("query_id", "vec_id", r6("similarity"))
+
+
+@query("pipeline_stages", f"WITH {_Q}, {_E}, t AS (SELECT vec_id, label, {_DIST['cosine']} AS d FROM e, q ORDER BY d, vec_id LIMIT 50) SELECT vec_id, round((1 - d) * 0.7 + 0.3 * (label = 1)::INT, 6) AS score FROM t WHERE label < 5 AND d <= 0.95 ORDER BY (1 - d) * 0.7 + 0.3 * (label = 1)::INT DESC, vec_id LIMIT 8")
+def pipeline_stages(spark, directory):
+    run = extras.pipeline(
+        extras.search_stage(vector_of(spark, directory), 50, id="vec_id"),
+        extras.filter_stage(F.col("label") < 5),
+        extras.threshold_stage(0.95),
+        extras.rerank_stage((1 - F.col("distance")) * 0.7 + 0.3 * (F.col("label") == 1).cast("int")),
+        extras.limit_stage(8, F.desc("score"), "vec_id"),
+    )
+    return run(vectors(spark, directory)).select("vec_id", r6("score"))
+
+
+@query("sequence_trend", f"WITH {_E} SELECT label, count(*) AS n, round(list_distance(arg_min(v, vec_id), arg_max(v, vec_id)), 6) AS shift FROM e GROUP BY label")
+def sequence_trend(spark, directory):
+    return extras.trend(vectors(spark, directory), "label", "vec_id", "embedding").select("label", "n", r6("shift"))
+
+
+@query("sequence_dtw")
+def sequence_dtw(spark, directory):
+    q = [vector_of(spark, directory, i) for i in range(3)]
+    return extras.sequence_distances(vectors(spark, directory), q, "label", "vec_id", "embedding")
+
+
+@query("sequence_frechet")
+def sequence_frechet(spark, directory):
+    q = [vector_of(spark, directory, i) for i in range(3)]
+    return extras.sequence_distances(vectors(spark, directory), q, "label", "vec_id", "embedding", "frechet")
+
+
+@query("isolation_forest")
+def isolation_forest(spark, directory):
+    return extras.isolation_scores(vectors(spark, directory))
+
+
+@query("private_distances")
+def private_distances(spark, directory):
+    found = search.top_k(vectors(spark, directory), vector_of(spark, directory), 10)
+    return found.select("vec_id", extras.noisy(F.col("distance"), 1.0, 0.01, 7).alias("distance"))
+
+
+@query("minhash_dedup")
+def minhash_dedup(spark, directory):
+    return extras.near_duplicates(table(spark, directory, "documents"), 0.8, "doc_id", "text")
+
+
+@query("embed_text")
+def embed_text(spark, directory):
+    return table(spark, directory, "documents").select("doc_id", extras.hashed_embedding(F.col("text")).alias("embedding"))
