@@ -19,7 +19,7 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p6_found": p6_found}
 
-_DELIVERIES = r"""
+DELIVERIES = r"""
 src AS (SELECT batch_id, min(lower(regexp_replace(source_id, '[^\p{L}\p{N}]+', '', 'g'))) AS source
         FROM delta_logs GROUP BY batch_id),
 del AS (
@@ -34,7 +34,7 @@ del AS (
 
 ORACLE = {
     "p4_found": f"""
-WITH {_DELIVERIES},
+WITH {DELIVERIES},
 one AS (SELECT *, CASE WHEN checksum IS NULL THEN delivery_id
                        ELSE min(delivery_id) OVER (PARTITION BY source, sequence, checksum) END AS m FROM del),
 two AS (SELECT *, max(checksum IS NULL) OVER w AS open, min(m) OVER w AS m2 FROM one
@@ -46,7 +46,7 @@ five AS (SELECT *, CASE WHEN open THEN min(m4) OVER (PARTITION BY source, sequen
                         ELSE m4 END AS m5 FROM four)
 SELECT delivery_id FROM five WHERE delivery_id <> m5""",
     "p6_found": f"""
-WITH {_DELIVERIES},
+WITH {DELIVERIES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, vector_id ORDER BY at_ms DESC, sequence DESC, delivery_id) AS rn
            FROM del WHERE op IN ('upsert', 'delete') AND vector_id IS NOT NULL AND collection IS NOT NULL AND at_ms IS NOT NULL),
 drops AS (SELECT collection, max(at_ms) AS dropped FROM del WHERE op = 'dropcollection' GROUP BY collection)
