@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.llm import answers, clusters, leaks, mixture, neighbours, quantiles, sentences
 from spindrift.llm.tokens import vocabulary
 from spindrift.llm.vector_tables import current_vectors, recorded_vectors
+from spindrift.plans.feed_queries import DELIVERIES
 from spindrift.runtime import cut, table
 
 
@@ -92,4 +93,19 @@ QUERIES = {
     "p8_shares": p8_shares,
     "p9_found": p9_found,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p1_found": f"""
+WITH {DELIVERIES},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, vector_id ORDER BY at_ms DESC, sequence DESC, delivery_id) AS rn
+           FROM del WHERE op IN ('upsert', 'delete') AND vector_id IS NOT NULL AND collection IS NOT NULL AND at_ms IS NOT NULL),
+drops AS (SELECT collection, max(at_ms) AS dropped FROM del WHERE op = 'dropcollection' GROUP BY collection),
+kept AS (SELECT r.delivery_id FROM ranked r LEFT JOIN drops d ON r.collection = d.collection
+         WHERE rn = 1 AND op = 'upsert' AND (dropped IS NULL OR at_ms > dropped)),
+sound AS (SELECT collection, 'vector' AS kind, vector_id AS id, vector::DOUBLE[] AS v FROM delta_ops JOIN kept USING (delivery_id)
+          UNION ALL SELECT collection, 'query', query_id, query::DOUBLE[] FROM recorded_queries),
+asked AS (SELECT * FROM sound WHERE len(v) = 64 AND len(list_filter(v, lambda x: isfinite(x))) = 64 AND list_max(list_transform(v, lambda x: abs(x))) > 0),
+near AS (SELECT a.collection, a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM asked a JOIN asked b ON a.collection = b.collection
+         WHERE b.kind = 'vector' AND NOT (a.kind = 'vector' AND a.id = b.id)
+         QUALIFY row_number() OVER (PARTITION BY a.collection, a.kind, a.id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.id) <= 10)
+SELECT DISTINCT collection, least(id, other) AS low_id, greatest(id, other) AS high_id FROM near WHERE s >= 0.96""",
+}
