@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spindrift.functions.distance import distance
-from spindrift.runtime import beside, small
+from spindrift.runtime import beside, cut, small
 
 AGGREGATES = {
     "count": lambda c: F.count(c) if c != "*" else F.count(F.lit(1)),
@@ -90,13 +90,27 @@ def iqr_outliers(rows: DataFrame, column: str, factor: float = 1.5, keys: Sequen
     return x.where((F.col(column) < low - factor * (high - low)) | (F.col(column) > high + factor * (high - low))).drop("q")
 
 
+def running_sums(rows: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with each of ``columns`` replaced by its sum up to the row in the order of a column of distinct values.
+
+    No task sees all rows: they are range-partitioned and summed up within each partition, and the sums of the earlier partitions (one row per
+    partition) are added."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = cut(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    held = spread.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    earlier = held.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = spread.select("_part", order, *[F.sum(c).over(inside).alias(c) for c in columns])
+    return summed.join(small(earlier), "_part").select(order, *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in columns])
+
+
 def ks_statistic(one: DataFrame, other: DataFrame, column: str) -> DataFrame:
     """One row: statistic, the greatest difference of the two empirical distributions. Equal values are aggregated first."""
     counts = one.select(F.col(column).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(other.select(F.col(column).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = counts.where("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     total = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    up = W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    run = beside(steps.select("x", F.sum("a").over(up).alias("a"), F.sum("b").over(up).alias("b")), total)
+    run = beside(running_sums(steps, "x", ["a", "b"]), total)
     return run.agg(F.max(F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb"))).alias("statistic"))
 
 
