@@ -1,11 +1,11 @@
 """Defects of prompt and response pairs: empty, truncated, refusal, copy of the prompt, wrong language.
 
 Method. Each response is read where it lies: what is left without markup and placeholders (empty), whether it breaks off (truncated),
-how much of it is the prompt again (copy), and which language it and the prompt are in (wrong_language). Refusals show as templates:
-the opening of each response (its first sentence, with the words of the prompt and numbers masked) is hashed by MinHash; openings whose
-word shingles are verified to be similar make a template, and a template that recurs across unrelated prompts and whose responses decline
-and go on to nothing else is one of refusal. The texts of the templates are few beside the entries, as equal openings are
-aggregated first.
+how much of it is the prompt again (copy), and which language it and the prompt are in (wrong_language). Refusals show by a lexicon of
+ways to decline and as templates: the opening of each response (its first sentence, with the words of the prompt and numbers masked) and all
+that it says beside courtesies are hashed by MinHash; texts whose word shingles are verified to be similar make a template. A template is one of
+refusal if most of its responses decline by the lexicon, or, whatever its words are, if it recurs across unrelated prompts, holds nothing of
+them and most of its responses go on to nothing else. Equal texts are aggregated first.
 
 A pair gets one defect: the first that holds of empty, copy, refusal, wrong_language, truncated."""
 
@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,14 @@ from pyspark.sql import functions as F
 from spindrift.llm.sentences import units
 from spindrift.runtime import cut, small
 
+#: The sentences of one response are asked for a few times.
+_units = lru_cache(4)(units)
+
 #: Prompts across which an opening must recur to be a template.
 RECURRING = 3
+#: Where the lexicon doesn't know a template: prompts (and their share of all entries, as sound sentences recur by chance in large tables), the
+#: most slots (masked places), the least words, and the share of the prompts that a word of theirs may be in before they count as related.
+UNKNOWN, UNKNOWN_SHARE, SLOTS, WORDS, RELATED = 5, 1e-4, 1, 3, 0.6
 #: MinHash: values of a signature, values of a band; Jaccard similarity that two openings must be verified to have; words of a shingle.
 HASHES, BAND, SIMILAR, SHINGLE = 64, 4, 0.8, 2
 
@@ -103,7 +110,7 @@ def is_truncated(response: str) -> bool:
     items = [x.strip() for x in lines if _ITEM.match(x)]
     if len(items) > 1 and _ITEM.match(lines[-1]) and not any(_END.search(x) for x in items):
         return False  # a list without periods
-    found = units(prose)
+    found = _units(prose)
     end = prose[found[-1][0] : found[-1][1]] if found else prose
     size = len(re.findall(r"[\p{L}\p{N}_'’.-]+", end)) if not _CJK.search(end) else len(_CJK.findall(end)) / 2
     return len(found) > 1 or size >= 4
@@ -267,21 +274,55 @@ def declines(response: str) -> tuple[bool, bool]:
 
     What stands in quotation marks is said by another."""
     own = re.sub(r"[“„«「『\"][^”“»」』\"]*[”“»」』\"]", " x ", response.replace("’", "'"))
-    found = [own[a:b] for a, b in units(own)]
+    found = [own[a:b] for a, b in _units(own)]
     kinds = ["declines" if _DECLINES.search(x) else "courtesy" if _COURTESY.match(x) and len(x) < 120 else "other" for x in found]
     # "I can't say for every tenant, but ..." goes on
     long = any(k == "declines" and (len(x) > 220 or re.search(r"\b(?:but|aber|mais|pero)\b(?!\ (?:i|we|no|it|that|you|the|questions)\b)[^.!?]{40,}", x, re.I) and not re.search(r"sorry,?\ but", x, re.I)) for k, x in zip(kinds, found))
     return "declines" in kinds, "other" not in kinds and not long and "```" not in response
 
 
-def opening(response: str, query: str | None) -> str:
-    """The first sentence of a response, with the words of the prompt and numbers masked, so that templates come out alike."""
-    found = units(response)
-    first = response[found[0][0] : found[0][1]] if found else ""
+def masked(text: str, query: str | None) -> str:
+    """The words of a text, with those of the prompt and numbers masked, so that templates come out alike."""
     known = set(tokens(query)) if query else set()
-    masked = ["_" if t in known and len(t) > 3 or any(c.isdigit() or c == "_" for c in t) else t for t in tokens(first)]
-    out = [t for i, t in enumerate(masked) if not (t == "_" and i and masked[i - 1] == "_")]
-    return " ".join(out)
+    words = ["_" if t in known and len(t) > 3 or any(c.isdigit() or c == "_" for c in t) else t for t in tokens(text)]
+    return " ".join(t for i, t in enumerate(words) if not (t == "_" and i and words[i - 1] == "_"))
+
+
+def opening(response: str, query: str | None) -> str:
+    """The first sentence of a response, masked."""
+    found = _units(response)
+    return masked(response[found[0][0] : found[0][1]], query) if found else ""
+
+
+def template_texts(response: str, query: str | None) -> list[tuple[str, bool]]:
+    """What may recur of a response, each with whether the response adds nothing but courtesy to it: its opening, and all of it but courtesies."""
+    parts = [response[a:b] for a, b in _units(response)]
+    if not parts:
+        return []
+    later = [x for x in parts[1:] if not (_COURTESY.match(x) and len(x) < 120)]
+    code = "`" in response or response.strip()[0] in "{[" or any(_CODE_LINE.match(x.strip()) for x in response.strip().splitlines())
+    out = [(masked(parts[0], query), not code and not any(not _DECLINES.search(x) for x in later))]
+    # only a whole that says something can be of a template that the lexicon doesn't know
+    if later and not code and says_something(whole := masked(" ".join([parts[0], *later]), query)) and whole != out[0][0]:
+        out.append((whole, True))
+    return [x for x in out if x[0]]
+
+
+def says_something(text: str) -> bool:
+    """Whether a masked text is a sentence of its own words, and not a value or a form that is filled in."""
+    words = text.split()
+    own = [t for t in words if t != "_"]
+    return len(words) - len(own) <= SLOTS and len(own) >= WORDS * (2 if _CJK.search(text) else 1)
+
+
+_RUN = re.compile(r"[\p{Han}\p{Katakana}ー]{2,}")
+
+
+def content_words(text: str | None) -> list[str]:
+    """Words of a prompt that tell what it is about; pairs of signs where no blanks part the words."""
+    low = unicodedata.normalize("NFKC", text or "").lower()
+    words = {w for w in _LETTERS.findall(low) if len(w) > 3 and w not in _WORD_LANGUAGES and not _CJK.search(w)}
+    return sorted(words | {r[i : i + 2] for r in _RUN.findall(low) for i in range(len(r) - 1)})
 
 
 _SEEDS = np.random.default_rng(17).integers(1, 2**61 - 1, (2, HASHES), dtype=np.int64).astype(np.uint64)
@@ -309,52 +350,58 @@ def jaccard(one: str, other: str) -> float:
 
 
 def readings(entries: DataFrame) -> DataFrame:
-    """entry_id, query, defect (of what a single pair shows, or null), opening (or null), refuses, ends, of every entry."""
+    """entry_id, prompt (a hash of the query), words (of the query), defect (of what a single pair shows, or null), texts (text, bare), refuses, ends, of every entry."""
     kind = dict(entries.dtypes)["entry_id"]
 
     def read(query: str | None, response: str | None) -> tuple:
         if is_empty(response, query):
-            return "empty", None, False, False
+            return "empty", [], False, False
         if is_copy(response, query):
-            return "copy", None, False, False
+            return "copy", [], False, False
         refuses, ends = declines(response)
-        # of long responses that don't decline the opening needn't be compared: they answer
-        start = opening(response, query) if ends else None
         defect = "wrong_language" if is_wrong_language(response, query) else "truncated" if is_truncated(response) else None
-        return defect, start, refuses, ends
+        return defect, [{"text": t, "bare": b} for t, b in template_texts(response, query)], refuses, ends
+
+    texts = pa.list_(pa.struct([("text", pa.string()), ("bare", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("query").to_pylist()
             found = [read(q, r) for q, r in zip(asked, batch.column("response").to_pylist())]
-            types = [pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+            types = [pa.string(), texts, pa.bool_(), pa.bool_()]
             key = pa.array([xxhash.xxh64_intdigest(" ".join(tokens(q or ""))) - 2**63 for q in asked], pa.int64())
-            columns = [batch.column("entry_id"), key, *[pa.array([f[i] for f in found], t) for i, t in enumerate(types)]]
-            yield pa.RecordBatch.from_arrays(columns, ["entry_id", "prompt", "defect", "opening", "refuses", "ends"])
+            # only a bare response can be of a template
+            words = pa.array([content_words(q) if any(t["bare"] for t in f[1]) else [] for q, f in zip(asked, found)], pa.list_(pa.string()))
+            columns = [batch.column("entry_id"), key, words, *[pa.array([f[i] for f in found], t) for i, t in enumerate(types)]]
+            yield pa.RecordBatch.from_arrays(columns, ["entry_id", "prompt", "words", "defect", "texts", "refuses", "ends"])
 
-    return entries.select("entry_id", "query", "response").mapInArrow(run, f"entry_id {kind}, prompt bigint, defect string, opening string, refuses boolean, ends boolean")
+    schema = f"entry_id {kind}, prompt bigint, words array<string>, defect string, texts array<struct<text: string, bare: boolean>>, refuses boolean, ends boolean"
+    return entries.select("entry_id", "query", "response").mapInArrow(run, schema)
 
 
 def refusal_templates(read: DataFrame) -> DataFrame:
-    """opening of the result of :func:`readings` for the openings of refusal templates.
+    """text of the result of :func:`readings` for the texts of refusal templates.
 
-    Equal openings are one text. Texts that share a band are compared to the smallest text of the band and, where they are similar, linked;
+    Equal texts are one. Texts that share a band are compared to the smallest text of the band and, where they are similar, linked;
     each text takes the smallest text that it is linked to as its template. A template of at least RECURRING prompts is one of
-    refusal if most of its responses decline."""
+    refusal if most of its responses decline; and one of at least UNKNOWN prompts, UNKNOWN_SHARE of the entries, if it says something without
+    the prompts' words, most of its responses are bare and no word is in more than RELATED of its prompts."""
+    each = read.select("prompt", "words", "refuses", F.inline("texts"))
+    whole_sentence = F.udf(says_something, "boolean")
     texts = cut(
-        read.where("opening is not null and opening <> ''")
-        .groupBy("opening")
-        .agg(F.count("*").alias("n"), F.sum(F.col("refuses").cast("int")).alias("refusing"), F.approx_count_distinct("prompt", 0.02).alias("prompts"))
+        each.groupBy("text")
+        .agg(F.count("*").alias("n"), F.sum(F.col("refuses").cast("int")).alias("refusing"), F.sum(F.col("bare").cast("int")).alias("bare"), F.approx_count_distinct("prompt", 0.02).alias("prompts"))
+        .withColumn("says", whole_sentence("text"))
     )
 
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bands(t) for t in batch.column("opening").to_pylist()]
+            found = [bands(t) for t in batch.column("text").to_pylist()]
             place = pa.array([i for i, b in enumerate(found) for _ in b], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("opening").take(place), pa.array([x for b in found for x in b], pa.int64())], ["opening", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column("text").take(place), pa.array([x for b in found for x in b], pa.int64())], ["text", "band"])
 
-    banded = texts.select("opening").mapInArrow(band_rows, "opening string, band bigint")
-    first = banded.groupBy("band").agg(F.min("opening").alias("other"))
+    banded = cut(texts.where("says or refusing > 0").select("text").mapInArrow(band_rows, "text string, band bigint"))
+    first = banded.groupBy("band").agg(F.min("text").alias("other"))
 
     @F.pandas_udf("double")
     def similarity(one, other):
@@ -362,24 +409,33 @@ def refusal_templates(read: DataFrame) -> DataFrame:
 
         return pd.Series([jaccard(a, b) for a, b in zip(one, other)], dtype="float64")
 
-    pairs = banded.join(first, "band").where("opening <> other").select("opening", "other").distinct()
-    linked = pairs.where(similarity("opening", "other") >= SIMILAR).groupBy("opening").agg(F.min("other").alias("template"))
-    grouped = cut(texts.join(linked, "opening", "left").withColumn("template", F.coalesce("template", "opening")))
-    whole = grouped.groupBy("template").agg(F.sum("prompts").alias("prompts"), F.sum("n").alias("n"), F.sum("refusing").alias("refusing"))
-    good = whole.where((F.col("prompts") >= RECURRING) & (F.col("refusing") * 2 > F.col("n"))).select("template")
-    return grouped.join(good, "template", "left_semi").select("opening")
+    pairs = banded.join(first, "band").where("text <> other").select("text", "other").distinct()
+    linked = pairs.where(similarity("text", "other") >= SIMILAR).groupBy("text").agg(F.min("other").alias("template"))
+    grouped = cut(texts.join(linked, "text", "left").withColumn("template", F.coalesce("template", "text")))
+    sums = [F.sum(c).alias(c) for c in ("prompts", "n", "refusing", "bare")]
+    known = grouped.groupBy("template").agg(*sums).where((F.col("prompts") >= RECURRING) & (F.col("refusing") * 2 > F.col("n"))).select("template")
+    least = max(UNKNOWN, UNKNOWN_SHARE * read.count())
+    recurring = grouped.where("says").groupBy("template").agg(*sums).where((F.col("prompts") >= least) & (F.col("bare") * 2 > F.col("n"))).select("template")
+    members = cut(grouped.where("says").join(recurring, "template", "left_semi").select("text", "template"))
+    asked = cut(each.join(small(members), "text").where("bare").groupBy("template", "prompt").agg(F.first("words").alias("words")))
+    about = asked.select("template", F.explode("words").alias("word")).groupBy("template", "word").agg(F.count("*").alias("n")).groupBy("template").agg(F.max("n").alias("most"))
+    apart = asked.groupBy("template").agg(F.count("*").alias("prompts")).join(about, "template", "left").where((F.col("prompts") >= least) & (F.coalesce("most", F.lit(0)) <= RELATED * F.col("prompts")))
+    unknown = members.join(apart.select("template"), "template", "left_semi").select("text")
+    return grouped.join(known, "template", "left_semi").select("text").union(unknown).distinct()
 
 
 def defects(entries: DataFrame) -> DataFrame:
     """entry_id, defect of the defective pairs of ``entries`` (entry_id, query, response).
 
-    A response is a refusal if it declines and adds nothing but courtesy, or if it adds nothing to the opening of a refusal template. A null
-    query can't be copied or set a language. Repeated rows are judged each; an empty table gives no rows."""
-    read = cut(readings(entries))
-    template = cut(refusal_templates(read)).withColumn("template", F.lit(True))
-    refusal = (F.col("ends") & F.col("refuses")) | (F.col("ends") & F.col("template"))
+    A response is a refusal if it declines and adds nothing but courtesy, or if it adds nothing but courtesy to a text of a refusal template. A
+    null query can't be copied or set a language. Repeated rows are judged each; an empty table gives no rows."""
+    read = cut(readings(entries).withColumn("row", F.monotonically_increasing_id()))
+    template = cut(refusal_templates(read))
+    bare = read.select("row", F.inline("texts")).where("bare")
+    told = bare.join(small(template), "text", "left_semi").select("row").distinct().withColumn("told", F.lit(True))
+    refusal = (F.col("ends") & F.col("refuses")) | F.coalesce("told", F.lit(False))
     return (
-        read.join(small(template), "opening", "left")
+        read.join(told, "row", "left")
         .withColumn("defect", F.when(F.col("defect").isin("empty", "copy"), F.col("defect")).when(F.coalesce(refusal, F.lit(False)), "refusal").otherwise(F.col("defect")))
         .where("defect is not null")
         .select("entry_id", "defect")

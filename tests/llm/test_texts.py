@@ -168,3 +168,20 @@ def test_templates_reveal_refusals(spark):
     frame = spark.createDataFrame(rows, "entry_id bigint, query string, response string, defect string")
     assert sorted(map(tuple, A.defects(frame).collect())) == [(i, "refusal") for i in range(6)] + [(21, "empty"), (21, "empty")]
     assert A.defects(frame.limit(0)).count() == 0
+
+
+def test_templates_reveal_refusals_the_lexicon_lacks(spark):
+    topics = ["compaction", "reranking", "sharding", "backups", "tokenizers", "latency", "quotas", "tenants"]
+    asked = [f"{'Why How When Where'.split()[i % 4]} {'fails runs starts stops grows'.split()[i % 5]} {t}?" for i, t in enumerate(topics)]
+    odd, two = "That lies beyond my remit.", "This matter is off the table today. The desk upstairs deals with such things."
+    for wording in (odd, odd + " Thank you.", two):
+        assert not A._DECLINES.search(wording)
+    rows = [(i, q, odd + (" Thank you." if i % 2 else "")) for i, q in enumerate(asked)]
+    rows += [(20 + i, q, two) for i, q in enumerate(asked)]
+    # the opening goes on to an answer; a form that is filled in; a value; one question in other words
+    rows += [(40, asked[0], odd + " Set the writer to lazy and flush the batch before the next merge.")]
+    rows += [(50 + i, q, f"With the cache at {i} megabytes recall moved to {i + 7} percent.") for i, q in enumerate(asked)]
+    rows += [(60 + i, q, "Yes.") for i, q in enumerate(asked)]
+    rows += [(70 + i, f"{w} restart replicas?", "Run the nightly job once more.") for i, w in enumerate("please could kindly quickly safely slowly".split())]
+    frame = spark.createDataFrame(rows, "entry_id bigint, query string, response string")
+    assert sorted(map(tuple, A.defects(frame).collect())) == [(i, "refusal") for i in [*range(8), *range(20, 28)]]
