@@ -19,6 +19,8 @@ from spindrift.runtime import cut
 # ---- near-duplicate chunks ---------------------------------------------------------------------------------------------
 
 SHINGLE, HASHES, BAND = 3, 64, 4
+#: Texts of a block of a band; two blocks meet in a task.
+BLOCK = 512
 _SEEDS = np.random.default_rng(29).integers(1, 2**61 - 1, (2, HASHES), dtype=np.int64).astype(np.uint64)
 
 
@@ -35,11 +37,50 @@ def _bands(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(signature[i : i + BAND].tobytes(), seed=i) - 2**63 for i in range(0, HASHES, BAND)]
 
 
+def linked_texts(texts: list[str], least: float) -> list[tuple[int, int]]:
+    """Places (text, representative) that connect the texts as all pairs with a Jaccard similarity of ``least`` and more do."""
+    sets = [char_shingles(t) for t in texts]
+    n = len(sets)
+    if n <= 8:
+        near = np.zeros((n, n), bool)
+        for i in range(n):
+            for j in range(i):
+                small_one, large = sorted((len(sets[i]), len(sets[j])))
+                if small_one >= least * large:
+                    shared = len(sets[i] & sets[j])
+                    near[i, j] = near[j, i] = shared / (small_one + large - shared) >= least
+    else:
+        place: dict[str, int] = {}
+        at = [np.array([place.setdefault(x, len(place)) for x in s], np.int64) for s in sets]
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = np.zeros((n, n), np.float64)
+        step = 4096
+        row, column = np.repeat(np.arange(n), size.astype(np.int64)), np.concatenate(at)
+        for low in range(0, len(place), step):
+            held = np.zeros((n, step), np.float32)
+            own = (column >= low) & (column < low + step)
+            held[row[own], column[own] - low] = 1
+            shared += held @ held.T
+        near = shared / (size[:, None] + size[None] - shared) >= least
+    out, seen = [], np.zeros(n, bool)
+    for i in range(n):
+        if seen[i]:
+            continue
+        seen[i] = True
+        found = [i]
+        while found:
+            fresh = np.nonzero(near[found.pop()] & ~seen)[0]
+            seen[fresh] = True
+            found += fresh.tolist()
+            out += [(int(j), i) for j in fresh]
+    return out
+
+
 def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text: str = "content") -> DataFrame:
     """id, canonical of every chunk: the smallest id of those linked to it by a Jaccard similarity of character shingles of ``least`` and more.
 
-    Equal texts are one node. In each band every text is compared to the smallest and to the one before it in order, so that a hot band gives
-    as many pairs as it has texts; a pair counts once it is verified on the whole texts. Null texts stand alone."""
+    Equal texts are one node. All pairs of a band are verified on the whole texts: a band of more than BLOCK texts is split into blocks, of which
+    each two meet in a task, and the texts' shingles are compared by matrix products. Null texts stand alone."""
     rows = chunks.select(F.col(id).alias("id"), F.col(text).alias("text"))
     nodes = cut(rows.where("text is not null").groupBy("text").agg(F.min("id").alias("node")))
 
@@ -50,21 +91,33 @@ def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text:
             yield pa.RecordBatch.from_arrays([batch.column("node").take(place), pa.array([x for b in found for x in b], pa.int64())], ["node", "band"])
 
     kind = dict(rows.dtypes)["id"]
-    banded = nodes.mapInArrow(run, f"node {kind}, band bigint")
-    in_band = W.partitionBy("band").orderBy("node")
-    pairs = banded.withColumn("before", F.lag("node").over(in_band)).withColumn("first", F.min("node").over(W.partitionBy("band")))
-    pairs = pairs.select("node", F.explode(F.array("before", "first")).alias("other")).where("other is not null and node <> other").distinct()
-
-    @F.pandas_udf("double")
-    def jaccard(a, b):
-        import pandas as pd
-
-        both = [(char_shingles(x), char_shingles(y)) for x, y in zip(a, b)]
-        return pd.Series([len(x & y) / len(x | y) if x or y else 1.0 for x, y in both], dtype="float64")
-
-    texts = nodes.select(F.col("node").alias("other"), F.col("text").alias("other_text"))
-    linked = pairs.join(nodes, "node").join(texts, "other").withColumn("weight", jaccard("text", "other_text")).where(F.col("weight") >= least)
-    groups = graph.components(linked.select(F.col("node").alias("src"), F.col("other").alias("dst"), "weight"))
+    banded = cut(nodes.mapInArrow(run, f"node {kind}, band bigint"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = banded.join(shared, "band").withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    other = F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END"))
+    met = placed.withColumn("other", other).select("node", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(group: pa.Table) -> pa.RecordBatch:
+            found = linked_texts(group.column("text").to_pylist(), least)
+            own = group.column("node").combine_chunks()
+            return pa.RecordBatch.from_arrays([own.take(pa.array([p[i] for p in found], pa.int64())) for i in (0, 1)], ["src", "dst"])
+
+        left: pa.Table | None = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            key = whole.column("group").to_numpy()
+            starts = np.r_[0, np.nonzero(key[1:] != key[:-1])[0] + 1] if len(key) else np.array([0])
+            for a, b in zip(starts[:-1], starts[1:]):
+                if b - a > 1:
+                    yield links(whole.slice(a, b - a))
+            left = whole.slice(int(starts[-1]))  # the last group may go on in the next batch
+        if left is not None and len(left) > 1:
+            yield links(left)
+
+    ordered = met.join(nodes, "node").select("group", "node", "text").repartition("group").sortWithinPartitions("group")
+    linked = cut(ordered.mapInArrow(verify, f"src {kind}, dst {kind}").distinct())
+    groups = graph.components(linked.withColumn("weight", F.lit(1.0)))
     named = nodes.join(groups, "node", "left").select("text", F.coalesce("component", "node").alias("canonical"))
     return rows.join(named, "text", "left").select(F.col("id").alias(id), F.coalesce("canonical", "id").alias("canonical"))
 
