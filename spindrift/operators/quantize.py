@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spindrift.functions.distance import block_distances
+from spindrift.functions.distance import metric as known
 from spindrift.operators.aggregates import dimensions
-from spindrift.operators.search import top_k
+from spindrift.operators.search import QUERY_BLOCK
+from spindrift.runtime import cut, small
 
 
 def bounds(rows: DataFrame, vector: str = "embedding") -> list[tuple[float, float, float]]:
@@ -90,14 +94,60 @@ def assigned(rows: DataFrame, centres: Sequence[Sequence[float]], vector: str =
     return rows.where(F.col(vector).isNotNull()).withColumn("cluster", nearest(vector))
 
 
-def ivf_search(lists: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[float], k: int, n_probe: int = 8, metric: str = "l2", vector: str = "embedding", id: str = "vec_id") -> DataFrame:
-    """The ``k`` nearest within the ``n_probe`` nearest lists of a table that holds ``cluster`` (a partition column prunes the scan)."""
-    far = ((np.array(centres) - np.array(query)) ** 2).sum(1)
-    probed = [int(i) for i in np.argsort(far, kind="stable")[:n_probe]]
-    return top_k(lists, query, k, metric, vector, id, where=F.col("cluster").isin(probed))
-
-
-def product_codebooks(rows: DataFrame, parts: int, size: int = 16, vector: str = "embedding", sample: int = 20_000, seed: int = 3) -> np.ndarray:
+def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """A stated set of queries in blocks of QUERY_BLOCK: ids and vectors."""
+    ids, vectors = [], []
+    for q in queries.select(query_id, vector).where(F.col(vector).isNotNull()).orderBy(query_id).toLocalIterator():
+        ids.append(q[0])
+        vectors.append(q[1])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, np.array(vectors, np.float64)
+            ids, vectors = [], []
+    if ids:
+        yield ids, np.array(vectors, np.float64)
+
+
+def _nearest_of_batches(rows: DataFrame, queries: DataFrame, k: int, far, columns: Sequence[str], id: str, query_id: str, vector: str) -> DataFrame:
+    """query_id, id, distance, rank of the ``k`` nearest of each query by ``far`` (batch, queries' vectors) -> (query, row), infinite where a row isn't searched."""
+    schema = f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{id}` {dict(rows.dtypes)[id]}, distance double"
+    out = rows.sparkSession.createDataFrame([], schema)
+    for block in _query_blocks(queries, query_id, vector):
+        shipped = rows.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            asked, points = shipped.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                apart = far(batch, points)
+                kth = np.partition(apart, min(k, len(batch)) - 1, axis=1)[:, min(k, len(batch)) - 1]
+                q, r = np.nonzero((apart <= kth[:, None]) & np.isfinite(apart))
+                yield pa.RecordBatch.from_arrays([pa.array(asked).take(pa.array(q)), batch.column(id).take(pa.array(r)), pa.array(apart[q, r])], [query_id, id, "distance"])
+
+        out = out.unionByName(rows.where(F.col(vector).isNotNull()).select(id, *columns).mapInArrow(run, schema))
+    best = W.partitionBy(query_id).orderBy("distance", id)
+    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def ivf_search(lists: DataFrame, centres: Sequence[Sequence[float]], queries: DataFrame, k: int, n_probe: int = 8, metric: str = "l2", vector: str = "embedding", id: str = "vec_id", query_id: str = "query_id") -> DataFrame:
+    """The ``k`` nearest of each query (query_id, vector) within its ``n_probe`` nearest lists of a table that holds ``cluster``: query_id, id, distance, rank."""
+    points, kind = np.array(centres, np.float64), known(metric)
+
+    def far(batch: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
+        values, own = _rows(batch.column(vector)), batch.column("cluster").to_numpy()
+        probed = np.zeros((len(asked), len(points)), bool)
+        order = np.argsort((points**2).sum(1) - 2 * asked @ points.T, axis=1, kind="stable")[:, :n_probe]
+        np.put_along_axis(probed, order, True, axis=1)
+        out = np.full((len(asked), len(values)), np.inf)
+        for c in np.unique(own):
+            q, r = np.nonzero(probed[:, c])[0], np.nonzero(own == c)[0]
+            out[np.ix_(q, r)] = block_distances(kind, values[r], asked[q])
+        return np.where(np.isnan(out), np.inf, out)
+
+    return _nearest_of_batches(lists, queries, k, far, ["cluster", vector], id, query_id, vector)
+
+
+def product_codebooks(rows: DataFrame, parts: int, size: int = 256, vector: str = "embedding", sample: int = 20_000, seed: int = 3) -> np.ndarray:
     """Centroids (parts, size, width / parts) of the sub-vectors, fitted on a bounded sample of ``sample`` rows."""
     n = rows.count()
     taken = rows if n <= sample else rows.sample(min(1.0, 1.1 * sample / n), seed=seed).limit(sample)
@@ -115,23 +165,29 @@ def product_codebooks(rows: DataFrame, parts: int, size: int = 16, vector: str =
     return np.stack(books)
 
 
-def product_search(rows: DataFrame, books: np.ndarray, query: Sequence[float], k: int, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
-    """The ``k`` nearest by the distance of the query to the product-quantised rows (tables of partial distances)."""
+def product_search(rows: DataFrame, books: np.ndarray, queries: DataFrame, k: int, oversample: int = 10, vector: str = "embedding", id: str = "vec_id", query_id: str = "query_id") -> DataFrame:
+    """The ``k`` nearest of each query (query_id, vector): of the ``k * oversample`` nearest by the product-quantised rows (tables of partial
+    distances) those that are nearest by Euclidean distance: query_id, id, distance, rank."""
     parts, _, width = books.shape
-    tables = ((books - np.array(query).reshape(parts, 1, width)) ** 2).sum(2)
-
-    @F.pandas_udf("double")
-    def approximate(v):
-        import pandas as pd
 
-        x = np.stack(v.to_numpy()).astype(np.float64).reshape(len(v), parts, width)
-        total = np.zeros(len(v))
+    def far(batch: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
+        x = _rows(batch.column(vector)).reshape(len(batch), parts, width)
+        total = np.zeros((len(asked), len(batch)))
         for p in range(parts):
-            code = ((books[p] ** 2).sum(1) - 2 * x[:, p] @ books[p].T).argmin(1)
-            total += tables[p][code]
-        return pd.Series(np.sqrt(total))
+            size = (books[p] ** 2).sum(1)
+            own = asked[:, p * width : (p + 1) * width]
+            table = size - 2 * own @ books[p].T + (own**2).sum(1)[:, None]
+            total += table[:, (size - 2 * x[:, p] @ books[p].T).argmin(1)]
+        return total
+
+    @F.arrow_udf("double")
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.sqrt(((_rows(a) - _rows(b)) ** 2).sum(1)))
 
-    return rows.where(F.col(vector).isNotNull()).select(id, approximate(vector).alias("distance")).orderBy("distance", id).limit(k)
+    first = cut(_nearest_of_batches(rows, queries, k * oversample, far, [vector], id, query_id, vector).select(query_id, id))
+    both = rows.select(id, vector).join(small(first), id).join(small(queries.select(query_id, F.col(vector).alias("asked"))), query_id)
+    best = W.partitionBy(query_id).orderBy("distance", id)
+    return both.select(query_id, id, exact(vector, "asked").alias("distance")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def principal_components(rows: DataFrame, k: int, vector: str = "embedding", id: str = "vec_id") -> tuple[DataFrame, list[float]]:

@@ -485,7 +485,7 @@ def sq_search(spark, directory):
 @query("pq_search")
 def pq_search(spark, directory):
     rows = vectors(spark, directory)
-    return quantize.product_search(rows, quantize.product_codebooks(rows, 8), vector_of(spark, directory), 10)
+    return quantize.product_search(rows, quantize.product_codebooks(rows, 16), _asked(rows), 10)
 
 
 @query("kmeans")
@@ -496,8 +496,8 @@ def kmeans(spark, directory):
 @query("ivf_search")
 def ivf_search(spark, directory):
     rows = vectors(spark, directory)
-    _, centres = quantize.kmeans(rows, 16)
-    return quantize.ivf_search(quantize.assigned(rows, centres), centres, vector_of(spark, directory), 10, 8)
+    _, centres = quantize.kmeans(rows, 256)
+    return quantize.ivf_search(quantize.assigned(rows, centres), centres, _asked(rows), 10, 128)
 
 
 @query("pca")

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from spindrift.functions.distance import distance, metric, normalized
 from spindrift.operators import aggregates, fusion, graph, search, sparse
 from spindrift.plans import ql
+from spindrift.plans import vector_queries as V
+from spindrift.runtime import table
 
 ROWS = [(1, [1.0, 0.0], "a"), (2, [0.0, 1.0], "b"), (3, [0.0, 0.0], "a"), (4, [1.0, 0.0], None), (5, None, "b"), (6, [3.0, 4.0], "a")]
 
+SF = "/root/testdata/sf0.1"
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
@@ -124,3 +128,18 @@ def test_query_language(spark, rows):
     for bad in ("SELECT vec_id FROM t WHERE tag = 'a' OR embedding SIMILAR TO $q", "SELECT vec_id FROM t WHERE NOT embedding SIMILAR TO $q", "SELECT vec_id FROM t LIMIT 10001", "SELECT vec_id FROM t WHERE tag = $none", "SELECT FROM", "SELECT vec_id FROM t WITH TIME_DECAY(exp)", "SELECT vec_id FROM nowhere"):
         with pytest.raises(ql.QueryError):
             run(bad, q=q)
+
+
+@pytest.mark.parametrize("name", ["pq_search", "ivf_search"])
+def test_quantised_searches_find_the_true_neighbours(spark, name):
+    rows = table(spark, SF, "embeddings")
+    x = {r.vec_id: np.array(r.embedding, float) for r in rows.select("vec_id", "embedding").collect()}
+    got: dict = {}
+    for r in V.QUERIES[name](spark, SF).collect():
+        assert r.distance == pytest.approx(np.linalg.norm(x[r.query_id] - x[r.vec_id]), abs=1e-6)
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == [i for i in sorted(x) if i % 50 == 0] and all(len(v) == 10 for v in got.values())
+    true = {q: set(sorted(x, key=lambda i: (np.linalg.norm(x[q] - x[i]), i))[:10]) for q in got}
+    recall = np.mean([len(got[q] & true[q]) / 10 for q in got])
+    print(name, "recall@10", recall)
+    assert recall >= 0.9
