@@ -251,15 +251,16 @@ def merge_round(nodes: DataFrame, links: DataFrame, threshold: float, width: int
     return nodes, cut(links), merges
 
 
-def link_large(nodes: DataFrame, links: DataFrame, threshold: float, k: int, width: int, local_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def link_large(nodes: DataFrame, links: DataFrame, threshold: float, k: int, width: int, local_nodes: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
     """Rounds over the collections with more than ``local_nodes`` nodes until none is left or nothing merges.
 
-    (nodes, links, moves): what remains of them, and for each node that was merged (collection, id) the node it is in now (root)."""
+    (nodes, links, moves, ended): what remains of them, for each node that was merged (collection, id) the node it is in now (root), and the
+    nodes of collections that are still large when nothing merges, each its own root: their linkage has ended."""
     moves = None
     while True:
         large = nodes.groupBy("collection").count().where(F.col("count") > local_nodes).select("collection")
         if not large.limit(1).count():
-            return nodes, links, moves
+            return nodes, links, moves, None
         big = small(cut(large))
         here, there = (x.join(big, "collection", "left_semi") for x in (nodes, links))
         here, there, merges = merge_round(here, there, threshold, width)
@@ -269,7 +270,8 @@ def link_large(nodes: DataFrame, links: DataFrame, threshold: float, k: int, wid
             there = cut(_undirected(found))
             here, there, merges = merge_round(here, there, threshold, width)
             if not merges.limit(1).count():
-                raise RuntimeError("more than LOCAL_NODES clusters are left in a collection: raise LOCAL_NODES or the threshold")
+                nodes, links = (x.join(big, "collection", "left_anti") for x in (nodes, links))
+                return nodes, links, moves, here.select("collection", "id", F.col("id").alias("root"))
         step = merges.select("collection", F.col("gone").alias("id"), F.col("kept").alias("root"))
         if moves is None:
             moves = step
@@ -399,9 +401,9 @@ def _large_members(nodes: DataFrame, links: DataFrame, threshold: float, member_
     between = cut(between.select("collection", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     ends = between.select("collection", F.col("a").alias("id")).union(between.select("collection", "b")).distinct()
     tree = groups.select("collection", F.col("rep").alias("id"), _scaled(width)("unit", "n").alias("sum"), "n")
-    rest, left, moves = link_large(cut(tree.join(ends, ["collection", "id"], "left_semi")), between, threshold, k, width, local_nodes)
+    rest, left, moves, ended = link_large(cut(tree.join(ends, ["collection", "id"], "left_semi")), between, threshold, k, width, local_nodes)
     root = rest.groupBy("collection").cogroup(left.groupBy("collection")).applyInArrow(_roots(threshold, k, width), "collection string, id bigint, root bigint")
-    root = cut(root)
+    root = cut(root if ended is None else root.unionByName(ended))
     if moves is not None:
         last = root.select("collection", F.col("id").alias("root"), F.col("root").alias("last"))
         root = root.unionByName(moves.join(last, ["collection", "root"], "left").select("collection", "id", F.coalesce("last", "root").alias("root")))

@@ -115,6 +115,13 @@ def test_clusters(spark, local_nodes):
     assert got == want
 
 
+def test_more_clusters_than_fit_a_task(spark):
+    data, truth = planted(sizes=(9, 8, 8, 9), loners=0)
+    units = N.unit_vectors(frame(spark, data)).select("collection", "id", "unit")
+    got = {r.id: (r.first_id, r.size) for r in C.clusters(units, local_nodes=2).collect()}
+    assert got == {i: (f"b{b}-00", (9, 8, 8, 9)[b]) for i, b in truth.items()}
+
+
 def test_description(spark):
     data, _ = planted(sizes=(9,), loners=3)
     units = N.unit_vectors(frame(spark, data)).select("collection", "id", "unit")
