@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,13 @@ def neighbourhood(edges: DataFrame, seeds: Sequence, hops: int, directed: bool =
     return seen
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 10) -> list:
-    """Nodes of a path with the fewest edges (ties by the smaller node), or an empty list."""
+def shortest_path(edges: DataFrame, start, end, most: int | None = None) -> list:
+    """Nodes of a path with the fewest edges (ties by the smaller node), or an empty list; with ``most``, of a path of at most so many edges."""
     links = both_ways(edges).select("src", "dst")
     spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
     seen = spark.createDataFrame([(start, None, 0)], f"node {kind}, parent {kind}, hop int")
     frontier = seen
-    for hop in range(1, most + 1):
+    for hop in count(1) if most is None else range(1, most + 1):
         if start == end or frontier.where(F.col("node") == end).limit(1).count():
             break
         step = links.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))

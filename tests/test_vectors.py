@@ -143,3 +143,9 @@ def test_quantised_searches_find_the_true_neighbours(spark, name):
     recall = np.mean([len(got[q] & true[q]) / 10 for q in got])
     print(name, "recall@10", recall)
     assert recall >= 0.9
+
+
+def test_shortest_path_of_many_hops(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(13)] + [(20, 21, 1.0)], "src bigint, dst bigint, weight double")
+    assert graph.shortest_path(chain, 0, 13) == list(range(14)) and graph.shortest_path(chain, 0, 21) == []
+    assert graph.shortest_path(chain, 0, 13, most=5) == []
