@@ -47,12 +47,12 @@ def radius(rows: DataFrame, query: Sequence[float], most: float, limit: int | No
     return found if limit is None else found.orderBy("distance", id).limit(limit)
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector: str = "embedding", id: str = "vec_id", query_id: str = "query_id", most: float | None = None, exclude_self: bool = False) -> DataFrame:
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", vector: str = "embedding", id: str = "vec_id", query_id: str = "query_id", most: float | None = None, exclude_self: bool = False) -> DataFrame:
     """The ``k`` nearest rows for every query: query_id, id, distance, rank.
 
     ``queries`` (query_id, and a vector column of the same name) is a stated set: it is read in blocks of :data:`QUERY_BLOCK`, each
     of which meets all rows in one scan, where matrix products give each batch's nearest rows; only these are shuffled and
-    ranked. ``most`` leaves out what is farther. Rows and queries whose vectors are null or differ in width from the
+    ranked. With k of None all rows are given, without ranks. ``most`` leaves out what is farther. Rows and queries whose vectors are null or differ in width from the
     first query's are left out."""
     kind = known(metric)
     blocks: list[tuple[list, np.ndarray]] = []
@@ -87,13 +87,18 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
                 far = np.where(np.isnan(far), np.inf, far)
                 if most is not None:
                     far[far > most] = np.inf
-                # one more than k by distance, then all that tie with the last, so that the ids can decide
-                kth = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-                q, r = np.nonzero((far <= kth[:, None]) & np.isfinite(far))
+                near = np.isfinite(far)
+                if k is not None:
+                    # one more than k by distance, then all that tie with the last, so that the ids can decide
+                    kth = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+                    near &= far <= kth[:, None]
+                q, r = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(asked).take(pa.array(q)), own.take(pa.array(r)), pa.array(far[q, r])], [query_id, id, "distance"])
 
         part = base.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
+    if k is None:
+        return out
     best = W.partitionBy(query_id).orderBy("distance", id)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

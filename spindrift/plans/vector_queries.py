@@ -112,7 +112,7 @@ def knn_filtered_batch(spark, directory):
 @query("threshold_join", _BATCH + " SELECT query_id, vec_id, round(d, 6) AS distance FROM p WHERE d <= 0.6 AND query_id <> vec_id")
 def threshold_join(spark, directory):
     rows = vectors(spark, directory)
-    return search.batch_top_k(rows, _asked(rows), 1_000_000, most=0.6, exclude_self=True).select("query_id", "vec_id", r6())
+    return search.batch_top_k(rows, _asked(rows), None, most=0.6, exclude_self=True).select("query_id", "vec_id", r6())
 
 
 @query("score_minmax", f"WITH {_Q}, {_E}, t AS (SELECT vec_id, {_DIST['l2']} AS d FROM e, q ORDER BY d, vec_id LIMIT 20) SELECT vec_id, round(1 - (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()), 6) AS score FROM t")

@@ -149,3 +149,10 @@ def test_shortest_path_of_many_hops(spark):
     chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(13)] + [(20, 21, 1.0)], "src bigint, dst bigint, weight double")
     assert graph.shortest_path(chain, 0, 13) == list(range(14)) and graph.shortest_path(chain, 0, 21) == []
     assert graph.shortest_path(chain, 0, 13, most=5) == []
+
+
+def test_batch_search_without_a_limit(spark, rows):
+    asked = rows.where("vec_id = 1").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = search.batch_top_k(rows, asked, None, most=0.5, exclude_self=True)
+    assert {(r.query_id, r.vec_id) for r in found.collect()} == {(1, 4), (1, 6)}
+    assert "rank" not in found.columns and search.batch_top_k(rows, asked, None).count() == 5
