@@ -115,8 +115,14 @@ def _by_batch(kind: str, query: Sequence[float]):
 def distance(name: str, v: Column, q: Vector) -> Column:
     """The distance of the metric ``name``; smaller is nearer. Cosine is 1 if either vector is zero; dot is negated."""
     kind = metric(name)
-    if not isinstance(q, Column) and len(q) > UNROLLED:
+    if isinstance(q, Column):
+        return _written_out(kind, v, q)
+    if len(q) > UNROLLED:
         return _by_batch(kind, [float(x) for x in q])(v)
+    return F.when(F.size(v) == len(q), _written_out(kind, v, q))
+
+
+def _written_out(kind: str, v: Column, q: Vector) -> Column:
     width = None if isinstance(q, Column) else len(q)
     if kind == "cosine":
         own = squares(v, width)
@@ -133,10 +139,8 @@ def distance(name: str, v: Column, q: Vector) -> Column:
     if kind == "l1":
         return _sum(_terms(v, q, lambda a, b: F.abs(a - b)))
     if kind == "hamming":
-        far = _sum(_terms(v, q, lambda a, b: F.when((a != 0) != (b != 0), 1.0).otherwise(0.0)))
-        return far if isinstance(q, Column) else F.when(F.size(v) == len(q), far)
-    far = _max(_terms(v, q, lambda a, b: F.abs(a - b)))
-    return far if isinstance(q, Column) else F.when(F.size(v) == len(q), far)
+        return _sum(_terms(v, q, lambda a, b: F.when((a != 0) != (b != 0), 1.0).otherwise(0.0)))
+    return _max(_terms(v, q, lambda a, b: F.abs(a - b)))
 
 
 def normalized(v: Column) -> Column:

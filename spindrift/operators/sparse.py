@@ -20,9 +20,9 @@ def sparse_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(F.map_values(v), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def sparse_search(rows: DataFrame, query: Mapping[int, float], k: int, metric: str = "dot", vector: str = "sparse", id: str = "id", least: float | None = None) -> DataFrame:
-    """The ``k`` rows with the greatest ``dot`` or ``cosine``, or the least ``l2`` distance: id, score. Rows that share no dimension are
-    no hits of the first two. ``least`` is the smallest score that counts. Null vectors are never found."""
+def sparse_scores(rows: DataFrame, query: Mapping[int, float], metric: str = "dot", vector: str = "sparse", id: str = "id") -> DataFrame:
+    """id, score of every row by ``dot``, ``cosine`` or ``l2`` distance, unordered. Rows that share no dimension are no hits of the first two;
+    null vectors never are."""
     product, norm = sparse_dot(F.col(vector), query), sum(x * x for x in query.values()) ** 0.5
     if metric == "dot":
         score = product
@@ -32,8 +32,14 @@ def sparse_search(rows: DataFrame, query: Mapping[int, float], k: int, metric: s
         score = F.sqrt(F.greatest(F.pow(sparse_norm(F.col(vector)), 2.0) + norm * norm - 2 * product, F.lit(0.0)))
     rows = rows.where(F.col(vector).isNotNull())
     if metric != "l2":
-        rows = rows.where(F.arrays_overlap(F.map_keys(vector), F.array(*[F.lit(int(d)) for d in query])))
-    found = rows.select(id, score.alias("score")).where("score is not null")
+        rows = rows.where(F.arrays_overlap(F.map_keys(vector), F.array(*[F.lit(int(d)) for d in query])) if query else F.lit(False))
+    return rows.select(id, score.alias("score")).where("score is not null")
+
+
+def sparse_search(rows: DataFrame, query: Mapping[int, float], k: int, metric: str = "dot", vector: str = "sparse", id: str = "id", least: float | None = None) -> DataFrame:
+    """The ``k`` rows with the greatest ``dot`` or ``cosine``, or the least ``l2`` distance: id, score (see :func:`sparse_scores`).
+    ``least`` is the smallest score that counts."""
+    found = sparse_scores(rows, query, metric, vector, id)
     found = found if least is None else found.where(F.col("score") >= least)
     return found.orderBy(F.col("score") if metric == "l2" else F.desc("score"), id).limit(k)
 

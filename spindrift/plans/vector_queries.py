@@ -351,7 +351,7 @@ def maxsim(spark, directory):
 def sparse_dense_fusion(spark, directory):
     q = vector_of(spark, directory)
     dense = search.scored(vectors(spark, directory), q).select(F.col("vec_id").alias("id"), "distance")
-    hits = sparse.sparse_search(_sparse(spark, directory), _sparse_query(spark, directory), 1_000_000_000)
+    hits = sparse.sparse_scores(_sparse(spark, directory), _sparse_query(spark, directory))
     return sparse.fused(dense, hits, 0.6, 10).select("id", r6())
 
 

@@ -156,3 +156,11 @@ def test_batch_search_without_a_limit(spark, rows):
     found = search.batch_top_k(rows, asked, None, most=0.5, exclude_self=True)
     assert {(r.query_id, r.vec_id) for r in found.collect()} == {(1, 4), (1, 6)}
     assert "rank" not in found.columns and search.batch_top_k(rows, asked, None).count() == 5
+
+
+@pytest.mark.parametrize("name", ["cosine", "cosine_unit", "l2", "l2sq", "dot", "l1", "linf", "hamming"])
+@pytest.mark.parametrize("width", [3, 40])
+def test_vectors_of_another_width_have_no_distance(spark, name, width):
+    rows = spark.createDataFrame([(n, [1.0] * n) for n in (0, width - 1, width, width + 1, 2 * width)] + [(-1, None)], "n int, v array<double>")
+    found = {r.n: r.d for r in rows.select("n", distance(name, F.col("v"), [0.5] * width).alias("d")).collect()}
+    assert [n for n, d in found.items() if d is not None] == [width]
