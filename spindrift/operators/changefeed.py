@@ -5,11 +5,14 @@ at each function only, except where they say otherwise."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spindrift.runtime import small
+from spindrift.operators import graph
+from spindrift.runtime import cut, small
 
 #: Epoch values below the first are seconds, below the second milliseconds, below the third microseconds, else
 #: nanoseconds. In milliseconds the first is 1973 and the second 5138.
@@ -62,43 +65,57 @@ def deliveries(ops: DataFrame, logs: DataFrame) -> DataFrame:
     ).join(small(sources), "batch_id", "left")
 
 
+IDENTITY = ["source", "sequence", "op", "collection", "vector_id", "at"]
+DIGEST = ["source", "sequence", "checksum"]
+
+
+def _same(one: DataFrame, other: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on columns of equal names where nulls equal each other; the names come out once."""
+    other = other.select(*[F.col(c).alias(f"_{c}") if c in names else F.col(c) for c in other.columns])
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    return one.join(other, on).drop(*[f"_{c}" for c in names])
+
+
+def _messages(ops: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(exact, kept): one row per distinct (IDENTITY, checksum) with its ``first`` delivery, written once; and the column ``first`` of the
+    deliveries that are the first of their message."""
+    exact = cut(deliveries(ops, logs).groupBy(*IDENTITY, "checksum").agg(F.min_by("delivery_id", "delivery_id").alias("first")))
+    summed = exact.where("checksum is not null")
+    digests = summed.groupBy(*DIGEST).agg(F.min("first").alias("node"))
+    bare = exact.where("checksum is null").select(*IDENTITY, F.col("first").alias("open"))
+    # deliveries without checksum tie together the checksums that share their attributes
+    tied = _same(_same(summed.drop("first"), bare, IDENTITY), digests, DIGEST)
+    links = cut(tied.groupBy("open", "node").agg(F.count("*").alias("n")))
+    nodes = digests.select(F.col("node").alias("first")).union(bare.select("open"))
+    # most are one to one, and the later of the two is no message of its own; only what branches needs rounds
+    alone = links.groupBy("node").agg(F.count("*").alias("n"), F.min("open").alias("open")).where("n = 1").drop("n")
+    alone = cut(alone.join(links.groupBy("open").count().where("count = 1"), "open"))
+    later = alone.select(F.greatest("open", "node").alias("first"))
+    rest = links.join(alone, "open", "left_anti").select(F.col("open").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("weight"))
+    if rest.limit(1).count():
+        later = later.union(graph.components(rest).where("node <> component").select("node"))
+    return exact, nodes.join(later, "first", "left_anti")
+
+
 def first_deliveries(ops: DataFrame, logs: DataFrame) -> DataFrame:
     """One row per message: the delivery that arrived first. Columns as of :func:`deliveries`.
 
     Two deliveries are one message if source, sequence and checksum are equal; where a checksum is missing, source,
-    sequence, op, collection, vector_id and time must be equal instead. Nulls in a key equal each other.
-
-    Method: a hash aggregation by identifier whose ``min_by`` over (arrival, identifier) keeps the first delivery. It
-    combines on the map side, so that a message delivered a million times shuffles a row per task. The aggregation
-    runs by the finest key first (attributes and checksum); its result holds each message a few times at most. Windows
-    over one hash partitioning by (source, sequence) then join what lacks a checksum to what has one."""
-    rows = deliveries(ops, logs)
-    rest = ["op", "collection", "vector_id", "at"]
-    exact = rows.groupBy("source", "sequence", *rest, "checksum").agg(
-        F.min_by(F.struct("delivery_id", "batch_id"), F.struct("delivery_id", "batch_id")).alias("first")
-    )
-    parts = exact.repartition(F.col("source"), F.col("sequence"))
-    whole, digest = ["source", "sequence", *rest], ["source", "sequence", "checksum"]
-    # least delivery of those with the same checksum; of those with the same attributes, if one lacks the checksum
-    same_sum = W.partitionBy(*digest)
-    same_all = W.partitionBy(*whole)
-    label = F.col("first.delivery_id")
-    parts = (
-        parts.withColumn("m", F.when(F.col("checksum").isNull(), label).otherwise(F.min(label).over(same_sum)))
-        .withColumn("open", F.max(F.col("checksum").isNull()).over(same_all))
-        .withColumn("m", F.when(F.col("open"), F.min("m").over(same_all)).otherwise(F.col("m")))
-        .withColumn("m", F.when(F.col("checksum").isNull(), F.col("m")).otherwise(F.min("m").over(same_sum)))
-        .withColumn("m", F.when(F.col("open"), F.min("m").over(same_all)).otherwise(F.col("m")))
-    )
-    return parts.where(label == F.col("m")).select(
-        F.col("first.delivery_id").alias("delivery_id"), "source", "sequence", *rest, "checksum"
-    )
+    sequence, op, collection, vector_id and time must be equal instead. That relation is closed: what is tied through a third
+    delivery is one message, however long the chain. Nulls in a key equal each other.
+
+    Method: a hash aggregation by identifier whose ``min_by`` over the arrival keeps the first delivery. ``delivery_id`` counts
+    the arrivals and is unique, so that time of delivery and tie-break are one number, of fixed width: with a struct of two fields
+    Spark would sort instead (SortAggregate). It combines on the map side, so that a message delivered a million times shuffles a row
+    per task. What lacks a checksum is tied to what has one by joins and connected components over these few; no window gathers a key."""
+    exact, kept = _messages(ops, logs)
+    return exact.join(kept, "first", "left_semi").select(F.col("first").alias("delivery_id"), *IDENTITY, "checksum")
 
 
 def repeated_deliveries(ops: DataFrame, logs: DataFrame) -> DataFrame:
     """``delivery_id`` of every delivery but the first of its message (see :func:`first_deliveries`)."""
-    kept = first_deliveries(ops, logs).select("delivery_id")
-    return ops.select("delivery_id").join(kept, "delivery_id", "left_anti")
+    _, kept = _messages(ops, logs)
+    return ops.select("delivery_id").join(kept.select(F.col("first").alias("delivery_id")), "delivery_id", "left_anti")
 
 
 def current_keys(ops: DataFrame, logs: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:

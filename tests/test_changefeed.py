@@ -37,6 +37,23 @@ def test_a_missing_checksum_joins_what_it_matches(spark):
     assert sorted(r[0] for r in C.repeated_deliveries(feed, logs(spark, (1, "s"))).collect()) == [2, 3]
 
 
+def test_a_chain_of_ties_is_one_message(spark):
+    """Checksums s0, s1, ... and attributes v0, v1, ...: each v is shared by two checksums and has a delivery without checksum."""
+    rows, n = [], 12
+    for i in range(n):
+        rows += [(len(rows) + 1, 1, 1, "upsert", "c", f"v{i}", T, f"s{i}"), (len(rows) + 2, 1, 1, "upsert", "c", f"v{i}", T, f"s{i + 1}"), (len(rows) + 3, 1, 1, "upsert", "c", f"v{i}", T, None)]
+    rows.append((len(rows) + 1, 1, 1, "upsert", "c", "v0", T + 1, None))  # another time: apart
+    feed = ops(spark, rows[::-1])
+    assert sorted(r[0] for r in C.repeated_deliveries(feed, logs(spark, (1, "s"))).collect()) == list(range(2, 3 * n + 1))
+
+
+def test_identifiers_are_aggregated_by_hash(spark, capsys):
+    rows = C.deliveries(ops(spark, []), logs(spark)).groupBy(*C.IDENTITY, "checksum").agg(F.min_by("delivery_id", "delivery_id").alias("first"))
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate(keys=[source" in plan and "SortAggregate(key=[source" not in plan
+
+
 def test_empty_tables(spark):
     assert C.repeated_deliveries(ops(spark, []), logs(spark)).count() == 0
     assert C.current_keys(ops(spark, []), logs(spark)).count() == 0
