@@ -4,7 +4,9 @@ A value is encoded as an integer of :data:`BITS` bits that keeps the order: the
 and the leading :data:`MANTISSA` bits of the fraction. For each binary resolution of the codes there is one table of counters.
 The coarse resolutions (at most ``WIDTH`` cells) hold exact counts, the finer ones a signed Count-sketch of :data:`DEPTH` rows: each cell
 is hashed to one counter per row with a sign, and its count is the median of the signed counters. A sketch is an array of
-integers; sketches of tasks, files or days are merged by addition, and a weight of -1 takes a value out again. A
+integers; sketches of tasks, files or days are merged by addition, and a weight of -1 takes a value out again. A sketch of few
+values is kept as the list of their codes and weights until it has more than :data:`LISTED`, so that many small groups cost what their
+values do. A
 percentile is found by descending from the coarsest resolution: at each level the rank goes left or right by the count of the
 left half.
 
@@ -30,8 +32,12 @@ BITS = MANTISSA + 6
 #: Counters of a row (a power of two), and rows of a sketch.
 WIDTH, DEPTH = 512, 5
 EXACT_BITS = 9
-#: Groups that a task holds before it hands its sketches on, and values it gathers before adding them.
-HELD_GROUPS, GATHERED = 512, 262_144
+#: Bytes of sketches that a task holds before it hands them on, and values it gathers before adding them.
+HELD_BYTES, GATHERED = 64 << 20, 262_144
+#: Codes up to which a sketch is kept as a list of (code, weight).
+LISTED = 1_024
+#: Rows of a group that a task merges at first; their sums are merged in a second step.
+SALTS = 32
 
 _LEVELS = BITS - EXACT_BITS
 #: Counters of one sketch: the exact counts of the EXACT_BITS leading bits, then the sketched levels, coarse to fine.
@@ -109,19 +115,68 @@ def invert(sketch: np.ndarray, ranks: Sequence[int]) -> list[float]:
 
 
 def _pack(sketch: np.ndarray) -> bytes:
-    return pa.compress(sketch.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+    return b"\1" + pa.compress(sketch.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, SIZE * 8, codec="zstd", asbytes=True), np.int64)
+def _pack_list(codes: np.ndarray, weights: np.ndarray) -> bytes:
+    return b"\0" + np.stack([codes, weights]).astype(np.int64).tobytes()
+
+
+class _Sum:
+    """A sketch to which sketches and coded values are added."""
+
+    def __init__(self) -> None:
+        self.codes, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table: np.ndarray | None = None
+
+    def put(self, codes: np.ndarray, weights: np.ndarray) -> None:
+        """Add values; ``codes`` are distinct."""
+        if self.table is None:
+            codes, at = np.unique(np.r_[self.codes, codes], return_inverse=True)
+            weights = np.rint(np.bincount(at.ravel(), np.r_[self.weights, weights], minlength=len(codes))).astype(np.int64)
+            codes, weights = codes[weights != 0], weights[weights != 0]
+            if len(codes) <= LISTED:
+                self.codes, self.weights = codes, weights
+                return
+            self.table = np.zeros((1, SIZE), np.int64)
+            self.codes, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        add(self.table, np.zeros(len(codes), np.int64), codes, weights.astype(np.float64))
+
+    def put_packed(self, data: bytes) -> None:
+        if data[:1] == b"\0":
+            self.put(*np.frombuffer(data, np.int64, offset=1).reshape(2, -1))
+            return
+        other = np.frombuffer(pa.decompress(data[1:], SIZE * 8, codec="zstd", asbytes=True), np.int64)[None]
+        if self.table is None:
+            self.table = np.zeros((1, SIZE), np.int64)
+            add(self.table, np.zeros(len(self.codes), np.int64), self.codes, self.weights.astype(np.float64))
+            self.codes, self.weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table += other
+
+    def size(self) -> int:
+        return 256 + 16 * len(self.codes) + (0 if self.table is None else self.table.nbytes)
+
+    def n(self) -> int:
+        return int(self.weights.sum() if self.table is None else self.table[0, :WIDTH].sum())
+
+    def packed(self) -> bytes:
+        return _pack_list(self.codes, self.weights) if self.table is None else _pack(self.table[0])
+
+    def at(self, ranks: Sequence[int]) -> list[float]:
+        """The values at these ranks (from 1); exact codes where they are listed."""
+        if self.table is not None:
+            return invert(self.table[0], ranks)
+        ends = np.cumsum(self.weights)
+        return [float(x) for x in decode(self.codes[np.minimum(np.searchsorted(ends, ranks), len(self.codes) - 1)])]
 
 
 def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Sketches of the finite, non-negative values of ``rows`` by ``keys``: keys, n, sketch (binary).
 
     Null, NaN, infinite and negative values are left out, whatever their number; a null key is a group of its own. A task gives one
-    row per group that it meets, to be combined by :func:`merged`: the aggregation's map side. ``weight`` names a column of
-    integers to add values with, -1 to take them out. An empty table gives no rows."""
+    row or a few per group that it meets, to be combined by :func:`merged`: the aggregation's map side. It holds sketches of HELD_BYTES
+    or little more, and hands them on before it takes up more groups. ``weight`` names a column of integers to add values with, -1 to take them
+    out. An empty table gives no rows."""
     number = F.col(value).cast("double")
     kept = rows.where(number.isNotNull() & ~F.isnan(number) & (number >= 0) & (number < float("inf")))
     kept = kept.select(*keys, number.alias("value"), (F.col(weight).cast("int") if weight else F.lit(1)).alias("weight"))
@@ -129,13 +184,21 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
     fields = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
-        table = np.zeros((0, SIZE), np.int64)
+        held: dict[tuple, _Sum] = {}
+        filled = 0
         waiting: list[pa.RecordBatch] = []
         types: list[pa.DataType] = []
 
-        def take() -> None:
-            nonlocal table
+        def out() -> pa.RecordBatch:
+            nonlocal filled
+            filled = 0
+            columns = [pa.array([name[i] for name in held], types[i]) for i in range(len(fields))]
+            columns += [pa.array([x.n() for x in held.values()], pa.int64()), pa.array([x.packed() for x in held.values()], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, [*fields, "n", "sketch"])
+
+        def take() -> Iterator[pa.RecordBatch]:
+            nonlocal filled
             block = pa.Table.from_batches(waiting)
             waiting.clear()
             group = np.zeros(len(block), np.int64)
@@ -144,37 +207,37 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
                 part = block.column(name).combine_chunks().dictionary_encode(null_encoding="encode")
                 index = part.indices.to_numpy(zero_copy_only=False).astype(np.int64)
                 codes.append((index, part.dictionary.to_pylist()))
-                group = group * (len(part.dictionary) or 1) + index
-            found, first, local = np.unique(group, return_index=True, return_inverse=True)
-            names = [tuple(words[index[i]] for index, words in codes) for i in first]
-            slot = np.array([held.setdefault(name, len(held)) for name in names], np.int64)
-            if len(held) > len(table):
-                table = np.concatenate([table, np.zeros((len(held) - len(table), SIZE), np.int64)])
-            part = np.zeros((len(names), SIZE), np.int64)
-            add(part, local.ravel(), encode(block.column("value").to_numpy()), block.column("weight").to_numpy().astype(np.float64))
-            table[slot] += part
-
-        def out() -> pa.RecordBatch:
-            nonlocal table
-            names = list(held)
-            columns = [pa.array([n[i] for n in names], types[i]) for i in range(len(fields))]
-            columns += [pa.array(table[:, :WIDTH].sum(1)), pa.array([_pack(x) for x in table], pa.binary())]
-            held.clear()
-            table = np.zeros((0, SIZE), np.int64)
-            return pa.RecordBatch.from_arrays(columns, [*fields, "n", "sketch"])
+                group = np.unique(group * (len(part.dictionary) or 1) + index, return_inverse=True)[1].ravel()
+            first = np.zeros(int(group.max()) + 1, np.int64)
+            first[group[::-1]] = np.arange(len(group))[::-1]
+            # equal codes of a group are one entry
+            pairs, at = np.unique((group << BITS) | encode(block.column("value").to_numpy()), return_inverse=True)
+            weights = np.rint(np.bincount(at.ravel(), block.column("weight").to_numpy().astype(np.float64))).astype(np.int64)
+            edges = np.searchsorted(pairs, np.arange(len(first) + 1) << BITS)
+            for g, i in enumerate(first):
+                name = tuple(words[index[i]] for index, words in codes)
+                if filled >= HELD_BYTES:
+                    yield out()
+                one = held.get(name)
+                if one is None:
+                    one = held[name] = _Sum()
+                else:
+                    filled -= one.size()
+                one.put(pairs[edges[g] : edges[g + 1]] & (2**BITS - 1), weights[edges[g] : edges[g + 1]])
+                filled += one.size()
 
         size = 0
         for batch in batches:
+            if not len(batch):
+                continue
             waiting.append(batch)
             types = [batch.schema.field(name).type for name in fields]
             size += len(batch)
             if size >= GATHERED:
-                take()
+                yield from take()
                 size = 0
-                if len(held) > HELD_GROUPS:
-                    yield out()
         if size:
-            take()
+            yield from take()
         if held:
             yield out()
 
@@ -183,23 +246,43 @@ def sketches(rows: DataFrame, keys: Sequence[str], value: str, weight: str | Non
 
 
 def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sketches added up by ``keys``: of tasks, days, files or tables."""
+    """Sketches added up by ``keys``: of tasks, days, files or tables.
+
+    In two steps, first by SALTS parts of each group, so that no task holds all of a group's sketches."""
     fields = [f for f in parts.select(*keys).schema]
     declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SIZE, np.int64), 0
-        for batch in batches:
-            for one, data in zip(batch.column("n").to_pylist(), batch.column("sketch").to_pylist()):
-                total += _unpack(data)
-                n += one
-        columns = [pa.array([k.as_py()], k.type) for k in key]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([_pack(total)], pa.binary())], [*[f.name for f in fields], "n", "sketch"])
+    def step(rows: DataFrame, by: list[str]) -> DataFrame:
+        extra = [c for c in by if c not in keys]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total, done, types = None, None, [], []
+
+            def out() -> pa.RecordBatch:
+                columns = [pa.array([d[0][i] for d in done], t) for i, t in enumerate(types)]
+                columns += [pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.binary())]
+                done.clear()
+                return pa.RecordBatch.from_arrays(columns, [*by, "n", "sketch"])
+
+            for batch in batches:  # sorted by key
+                types = [batch.schema.field(c).type for c in by]
+                for *own, data in zip(*[batch.column(c).to_pylist() for c in (*by, "sketch")]):
+                    if total is None or own != key:
+                        if total is not None:
+                            done.append((key, total.n(), total.packed()))
+                            if len(done) == 1_024:
+                                yield out()
+                        key, total = own, _Sum()
+                    total.put_packed(data)
+            if total is not None:
+                done.append((key, total.n(), total.packed()))
+                yield out()
 
-    def whole(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(key, iter(table.to_batches()))))
+        ordered = rows.repartition(*by).sortWithinPartitions(*by)
+        return ordered.mapInArrow(run, f"{declared}, " + "".join(f"{c} int, " for c in extra) + "n bigint, sketch binary")
 
-    return parts.groupBy(*keys).applyInArrow(whole, f"{declared}, n bigint, sketch binary")
+    salted = parts.select(*keys, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"), "sketch")
+    return step(step(salted, [*keys, "_salt"]).select(*keys, "sketch"), list(keys))
 
 
 def percentiles(parts: DataFrame, keys: Sequence[str], shares: dict[str, float]) -> DataFrame:
@@ -211,9 +294,11 @@ def percentiles(parts: DataFrame, keys: Sequence[str], shares: dict[str, float])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("sketch").to_pylist()):
-                ranks = [max(1, int(np.ceil(q * n - 1e-9))) for q in wanted]
-                rows.append(invert(_unpack(data), ranks) if n > 0 else [None] * len(wanted))
+            for data in batch.column("sketch").to_pylist():
+                one = _Sum()
+                one.put_packed(data)
+                n = one.n()
+                rows.append(one.at([max(1, int(np.ceil(q * n - 1e-9))) for q in wanted]) if n > 0 else [None] * len(wanted))
             columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(wanted))]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), *columns], [*keys, "n", *names])
 

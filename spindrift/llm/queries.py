@@ -9,7 +9,7 @@ from spindrift.llm import answers, clusters, leaks, mixture, neighbours, quantil
 from spindrift.llm.tokens import vocabulary
 from spindrift.llm.vector_tables import current_vectors, recorded_vectors
 from spindrift.plans.feed_queries import DELIVERIES
-from spindrift.runtime import cut, table
+from spindrift.runtime import cut, small, table
 
 
 def p1_found(spark: SparkSession, directory: str) -> DataFrame:
@@ -30,23 +30,58 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return answers.defects(table(spark, directory, "cache_entries"))
 
 
+P5_KEYS = ["measure", "collection"]
+P5_SHARES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+#: The stated bound of the rank error of p5's percentiles, as a share of the values of a group.
+P5_RANK_BOUND = 0.01
+
+
+def _latencies(spark: SparkSession, directory: str) -> DataFrame:
+    """measure, collection, day, value of both tables; replays that were written twice count once."""
+    asked = table(spark, directory, "recorded_queries").select(F.lit("latency_ms").alias("measure"), "collection", F.to_date("recorded_at").alias("day"), F.col("latency_ms").alias("value"))
+    replays = table(spark, directory, "replay_results").groupBy("replay_id", "collection", "new_latency_ms").agg(F.min("replayed_at").alias("at"))
+    return asked.unionByName(replays.select(F.lit("new_latency_ms").alias("measure"), "collection", F.to_date("at").alias("day"), F.col("new_latency_ms").alias("value")))
+
+
 def p5_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     """Latency percentiles by collection of both tables, from the sketches of their tasks."""
-    asked = table(spark, directory, "recorded_queries").select("collection", F.lit("latency_ms").alias("measure"), F.col("latency_ms").alias("value"))
-    # rows that were written twice count once
-    replays = table(spark, directory, "replay_results").select("replay_id", "collection", "new_latency_ms").distinct()
-    again = replays.select("collection", F.lit("new_latency_ms").alias("measure"), F.col("new_latency_ms").alias("value"))
-    keys = ["measure", "collection"]
-    whole = quantiles.merged(quantiles.sketches(asked.unionByName(again), keys, "value"), keys)
-    return quantiles.percentiles(whole, keys, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+    whole = quantiles.merged(quantiles.sketches(_latencies(spark, directory), P5_KEYS, "value"), P5_KEYS)
+    return quantiles.percentiles(whole, P5_KEYS, P5_SHARES)
+
+
+def p5_daily(spark: SparkSession, directory: str) -> DataFrame:
+    """The partial results: a sketch by collection and day, to be combined by :func:`quantiles.merged`."""
+    keys = [*P5_KEYS, "day"]
+    return quantiles.merged(quantiles.sketches(_latencies(spark, directory), keys, "value"), keys)
 
 
 def p5_by_month(spark: SparkSession, directory: str) -> DataFrame:
-    """Sketches of single days, combined to months."""
-    rows = table(spark, directory, "recorded_queries").select(F.to_date("recorded_at").alias("day"), "latency_ms")
-    days = quantiles.merged(quantiles.sketches(rows, ["day"], "latency_ms"), ["day"])
-    months = quantiles.merged(days.select(F.trunc("day", "month").alias("month"), "n", "sketch"), ["month"])
-    return quantiles.percentiles(months, ["month"], {"p50": 0.5, "p99": 0.99})
+    """Sketches of single days and collections, combined to months."""
+    keys = ["measure", "month"]
+    days = p5_daily(spark, directory)
+    months = quantiles.merged(days.select("measure", F.trunc("day", "month").alias("month"), "n", "sketch"), keys)
+    return quantiles.percentiles(months, keys, {"p50": 0.5, "p99": 0.99})
+
+
+def p5_within_bound(spark: SparkSession, directory: str) -> DataFrame:
+    """measure, collection, n, within: whether the exact ranks of all five percentiles lie within :data:`P5_RANK_BOUND` of those asked for."""
+    rows = _latencies(spark, directory)
+    found = small(cut(p5_percentiles(spark, directory).withColumnRenamed("n", "held")))
+    value = F.col("value")
+    sound = rows.where((value >= 0) & ~F.isnan("value") & (value < float("inf")))
+    both = sound.join(found, (sound.measure == found.measure) & sound.collection.eqNullSafe(found.collection)).select(sound.measure, sound.collection, "value", "held", *P5_SHARES)
+    width = 2.0**-quantiles.MANTISSA
+    counts = both.groupBy(*P5_KEYS).agg(
+        F.count("*").alias("n"),
+        F.max("held").alias("held"),
+        *[F.sum((value < F.col(p) * (1 - width)).cast("int")).alias(f"below_{p}") for p in P5_SHARES],
+        *[F.sum((value <= F.col(p) * (1 + width)).cast("int")).alias(f"upto_{p}") for p in P5_SHARES],
+    )
+    good = F.col("n") == F.col("held")
+    for p, share in P5_SHARES.items():
+        rank, room = F.ceil(F.lit(share) * F.col("n") - 1e-9), F.ceil(P5_RANK_BOUND * F.col("n"))
+        good = good & (F.col(f"below_{p}") - room < rank) & (rank <= F.col(f"upto_{p}") + room)
+    return counts.select(*P5_KEYS, "n", good.alias("within"))
 
 
 def _mixture(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +121,9 @@ QUERIES = {
     "p2_described": p2_described,
     "p3_found": p3_found,
     "p5_percentiles": p5_percentiles,
+    "p5_daily": p5_daily,
     "p5_by_month": p5_by_month,
+    "p5_within_bound": p5_within_bound,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_mixture": p8_mixture,
@@ -94,6 +131,10 @@ QUERIES = {
     "p9_found": p9_found,
 }
 ORACLE = {
+    "p5_within_bound": """
+WITH r AS (SELECT 'latency_ms' AS measure, collection, latency_ms AS value FROM recorded_queries
+           UNION ALL SELECT 'new_latency_ms', collection, new_latency_ms FROM (SELECT DISTINCT replay_id, collection, new_latency_ms FROM replay_results))
+SELECT measure, collection, count(*) AS n, true AS within FROM r WHERE isfinite(value) AND value >= 0 GROUP BY measure, collection""",
     "p1_found": f"""
 WITH {DELIVERIES},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, vector_id ORDER BY at_ms DESC, sequence DESC, delivery_id) AS rn

@@ -51,6 +51,30 @@ def test_percentiles_by_group(spark):
     assert Q.sketches(frame.limit(0), ["k"], "v").count() == 0
 
 
+def test_small_sketches_are_lists_and_grow_into_tables():
+    rng = np.random.default_rng(4)
+    x = rng.lognormal(3, 2, 5000)
+    codes, n = np.unique(Q.encode(x), return_counts=True)
+    one, parts = Q._Sum(), []
+    for at in range(0, len(codes), 700):
+        part = Q._Sum()
+        part.put(codes[at : at + 700], n[at : at + 700])
+        parts.append(part.packed())
+        one.put_packed(parts[-1])
+    assert parts[0][:1] == b"\0" and one.packed()[:1] == b"\1" and one.n() == 5000
+    assert (one.table[0] == sketch_of(x)).all()
+    few = Q._Sum()
+    few.put(np.array([5, 9]), np.array([2, 1]))
+    few.put(np.array([9, 4]), np.array([-1, 1]))
+    assert few.n() == 3 and few.at([1, 2, 3]) == Q.decode(np.array([4, 5, 5])).tolist()
+
+
+def test_many_groups_are_held_in_bounded_memory(spark):
+    rows = spark.range(300_000, numPartitions=2).select(F.col("id").alias("k"), (F.col("id") % 97).cast("double").alias("v"))
+    parts = Q.sketches(rows, ["k"], "v")
+    assert parts.count() == 300_000 and parts.agg(F.sum("n")).first()[0] == 300_000
+
+
 def targets(spark, *rows):
     return spark.createDataFrame(list(rows), "source string, target_weight double, max_repeats int")
 
