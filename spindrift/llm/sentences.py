@@ -27,21 +27,23 @@ NUMBERED = frozenset("no nos nr nrn núm num fig figs abb tab sect sec sects abs
 INNER = frozenset("cf vs viz vgl bzw ca approx incl excl resp sog ggf evtl inkl exkl zzgl bspw insb mind max min mio mrd mill env ej aprox vid cfr esp approx dept univ assn ave jan feb febr aug sept okt nov dez déc févr janv juil".split())
 #: Within a sentence or at its end: an end if a capital, a digit or a name follows.
 EITHER = frozenset("etc usw uvm usf al inc ltd co corp bros jr sra ste gmbh bmbh".split())
-#: Words spelled in small letters at the head of a sentence too.
-SMALL_NAMES = frozenset("mmap fsync malloc stdin stdout stderr grep npm pip git ssh curl kubectl systemd cron sudo iPhone iOS eBay".split())
 #: Articles and prepositions after which a number with a period is an ordinal, in German.
 BEFORE_ORDINAL = frozenset("am der dem den des die das im vom zum zur beim ab bis seit ein eine einen einem einer jeder jede jedes kein keine".split())
 
-TERMINATOR = re.compile(r"[.!?…‥。．｡！？।॥؟۔։።፧።៕᙮‼⁇⁈⁉﹒﹖﹗]+")
-_HARD = re.compile(r"[。｡！？।॥؟۔։።፧៕᙮﹖﹗]")
+# Character properties of the standard: terminators that may be part of an abbreviation or a number (ATerm), all other terminators (STerm; those
+# of the Latin script end a sentence only before a blank or a capital), closing and opening punctuation, and what goes on after a terminator.
+TERMINATOR = re.compile(r"[\p{Sentence_Break=ATerm}\p{Sentence_Break=STerm}…‥]+")
+_HARD = re.compile(r"(?V1)[\p{Sentence_Break=STerm}--[!?‼⁇⁈⁉‽]]")
+_ATERM = re.compile(r"\p{Sentence_Break=ATerm}")
+_CONTINUE = re.compile(r"(?V1)[[\p{Sentence_Break=SContinue}\p{Pe}]--\p{Pd}]")
 _ELLIPSIS = re.compile(r"(?:…|‥|\.\.)[.…‥]*\Z")
 _LINE = re.compile(r"[^\r\n\x0b\x0c\x85  ]*(?:\r\n|[\r\n\x0b\x0c\x85  ]|\Z)")
 _BULLET = re.compile(r"[^\S\r\n]*(?:(?P<dot>[-*+•‣◦▪·●○])|\(?(?P<number>\d{1,3})[.)]|\(?[a-z]\))[^\S\r\n]+(?=\S)")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "〔": "〕", "“": "”", "„": "“", "‚": "‘", "«": "»", "‹": "›", "‘": "’"}
 _BRACKETS = frozenset("([{（［【〔")
 _MARKS = re.compile(r"""[()\[\]{}（）［］「」『』【】《》〈〉〔〕“”„‚«»‹›‘’"']""")
-_CLOSERS = re.compile(r"""[)\]}）］」』】》〉〕”“»›’"'*_]""")
-_OPENERS = re.compile(r"""[(\[{（［「『【《〈〔“„‚«‹‘"'¿¡*_\s]*""")
+_CLOSERS = re.compile(r"""[\p{Pe}\p{Pf}“"'*_]""")
+_OPENERS = re.compile(r"""[\p{Ps}\p{Pi}"'¿¡*_\s]*""")
 _TECHNICAL = re.compile(r"(?:\p{Ll}+[\d_]|\p{Ll}+(?:-\p{Ll}+)*_)[\p{L}\d_]*|v\d")
 _WORD = re.compile(r"[\p{L}\p{M}]+")
 _LAST_WORD = re.compile(r"[\p{L}\p{M}§]+\Z")
@@ -94,7 +96,7 @@ def _starts_new(text: str, at: int, end: int) -> str:
         return "upper"
     if c.islower():
         word = _WORD.match(text, at, end).group()
-        return "upper" if word in SMALL_NAMES or _TECHNICAL.match(text, at, end) else "lower"
+        return "upper" if not word.islower() or _TECHNICAL.match(text, at, end) else "lower"
     return "digit" if c.isdigit() else "other" if c.isalpha() else "none"
 
 
@@ -106,20 +108,23 @@ def _ends(text: str, start: int, i: int, j: int, k: int, end: int, pair: tuple[i
     if n >= end:
         return True
     gap, run = n > k, text[i:j]
-    if not gap and text[n] in ",;:،、，；：)]}）］":
+    if not gap and _CONTINUE.match(text[n]):
         return False
     follows = _starts_new(text, n, end)
     dots = bool(_ELLIPSIS.search(run)) or run in ("…", "‥")
     if pair is not None:
         opened_inside = text[start : pair[0]].strip("¿¡*_ \t\r\n\xa0") != ""
-        if text[pair[0]] in _BRACKETS and opened_inside:
-            return False
+        if text[pair[0]] in _BRACKETS:
+            if opened_inside:
+                return False
+            if gap:
+                return True  # a whole sentence in brackets, whatever follows
         if follows == "upper" or follows == "digit" and gap:
             return True
         return follows == "other" and gap and not opened_inside
     if dots and not _HARD.search(run) and "!" not in run and "?" not in run:
         return follows in ("upper", "digit") or follows == "other" and gap
-    if run[-1] not in ".．﹒" or len(run) > 1:
+    if not _ATERM.match(run[-1]) or len(run) > 1:
         if _HARD.search(run) or gap:
             return True
         return follows in ("upper", "other")

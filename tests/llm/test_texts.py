@@ -185,3 +185,26 @@ def test_templates_reveal_refusals_the_lexicon_lacks(spark):
     rows += [(70 + i, f"{w} restart replicas?", "Run the nightly job once more.") for i, w in enumerate("please could kindly quickly safely slowly".split())]
     frame = spark.createDataFrame(rows, "entry_id bigint, query string, response string")
     assert sorted(map(tuple, A.defects(frame).collect())) == [(i, "refusal") for i in [*range(8), *range(20, 28)]]
+
+
+def test_every_standard_terminator_ends_a_sentence():
+    import regex
+    import sys as system
+
+    marks = regex.findall(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}]", "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, system.maxunicode + 1))))
+    assert len(marks) >= 150
+    for mark in marks:
+        text = f"Worte stehen hier{mark} Danach folgt mehr{mark}"
+        assert [text[a:b] for a, b in units(text)] == [f"Worte stehen hier{mark}", f"Danach folgt mehr{mark}"], hex(ord(mark))
+
+
+@pytest.mark.parametrize("sentences", [
+    ["ကျွန်ုပ်တို့သည် စာရင်းကို ဖတ်သည်။", "စနစ်သည် ရပ်နားသည်။", "ဒေတာများ ပျောက်ဆုံးသည်။"],  # Burmese
+    ["ꦲꦏ꧀ꦱꦫꦗꦮ꧉", "ꦱꦸꦒꦼꦁꦫꦮꦸꦃ꧉"],  # Javanese
+    ["ᱥᱟᱱᱛᱟᱲᱤ ᱯᱟᱹᱨᱥᱤ᱾", "ᱚᱞ ᱪᱤᱠᱤ᱾"],  # Santali
+    ["ሰላም ነው።", "ደህና ነው፧"],
+])
+def test_scripts_with_their_own_terminators(sentences):
+    for gap in ("", " "):
+        text = gap.join(sentences)
+        assert [text[a:b] for a, b in units(text)] == sentences
