@@ -1,19 +1,22 @@
 """Evaluation texts that leaked into training documents, by greedy string tiling.
 
 Method. Tokens are words (the longest runs of letters and digits after NFKC and lower-casing) or, for items in languages without
-blanks, single letters and digits. All runs of ``seed`` tokens of the items are hashed (Karp-Rabin); the same running hash over
-every document finds the shared seeds. Each pair of document and item with a shared seed is tiled: the longest match of tokens that
-are not marked yet is marked, again and again, down to ``seed`` tokens, hashes being verified by the tokens. A pair is
-reported with the length of its longest tile and the share of the item that the tiles cover, so that passages in another order count too.
+blanks, single letters and digits. All runs of ``seed`` tokens of the items are hashed (Karp-Rabin) into a table, and a Bloom filter of these
+hashes, of bounded size, goes to every task. One scan of the documents computes the same running hash and keeps the documents with hashes
+that pass the filter; a join on the hash finds the pairs that share a seed, and drops what passed by chance. Each such pair is tiled:
+the longest match of tokens that are not marked yet is marked, again and again, down to ``seed`` tokens, hashes being verified by the
+tokens. A pair is reported with the length of its longest tile and the share of the item that the tiles cover, so that passages in
+another order count too.
 
-The items are a stated query set: they are taken in blocks of at most :data:`BLOCK_SEEDS` seeds, and each block meets all
-documents where they lie, in one scan without a shuffle. Whole documents and whole items are compared; nothing is capped."""
+Whole documents and whole items are compared; nothing is capped. Neither items nor hashes come to the driver, only the filter's bits. With
+more items than the filter is sized for, more documents pass it by chance, and the join drops them: results stay the same."""
 
 from __future__ import annotations
 
 import heapq
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Seeds of the items that go to every task at once, about 40 bytes each.
-BLOCK_SEEDS = 500_000
+from spindrift.runtime import cut
+
+#: Bits of the filter for a seed, and in all (8 MB); probes of a hash.
+SEED_BITS, MOST_BITS, PROBES = 64, 1 << 26, 4
 #: Languages whose items are compared by letters.
 BY_LETTER = ("ja", "zh", "th")
 
@@ -97,43 +102,48 @@ def tiles(one: Sequence[str], other: Sequence[str], shared: Sequence[tuple[int,
     return out
 
 
-class _Items:
-    """A block of items with the sorted hashes of their seeds."""
+def _hashes(text: str, letter: bool, length: int, known: dict[str, int]) -> tuple[Sequence[str], np.ndarray]:
+    """(tokens of a text, hashes of their runs). Runs of letters and of words have different hashes."""
+    token = words(text)
+    if letter:
+        joined = "".join(token)
+        return joined, running_hash(_letters(joined), length) ^ _BASE
+    if len(known) > 1_000_000:
+        known.clear()
+    return token, running_hash(_codes(token, known), length)
+
+
+def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of the filter (probe, hash) of some hashes."""
+    steps = (hashes >> np.uint64(32)) | np.uint64(1)
+    return (hashes + np.arange(PROBES, dtype=np.uint64)[:, None] * steps * _BASE) % np.uint64(bits)
+
+
+def _filter(seeds: DataFrame, n: int) -> np.ndarray:
+    """Words of 64 bits of the Bloom filter of the hashes: an aggregation by word, of which at most MOST_BITS / 64 come to the driver."""
+    bits = min(MOST_BITS, 1 << max(16, (SEED_BITS * n - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_positions(batch.column("hash").to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    words = seeds.select("hash").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
 
-    def __init__(self, rows: list[tuple], seed: int, seed_letters: int):
-        self.ids = [r[0] for r in rows]
-        self.sides = []
-        known: dict[str, int] = {}
-        tokens = [words(r[2]) for r in rows]
-        self.by_letter = [r[1] in BY_LETTER for r in rows]
-        self.tokens = ["".join(t) if letter else t for t, letter in zip(tokens, self.by_letter)]
-        for letter, length in ((False, seed), (True, seed_letters)):
-            hashes, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, t in enumerate(self.tokens):
-                if self.by_letter[i] == letter:
-                    h = running_hash(_letters(t) if letter else _codes(t, known), length)
-                    hashes.append(h)
-                    owner.append(np.full(len(h), i))
-                    place.append(np.arange(len(h)))
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            self.sides.append((h[order], np.concatenate(owner)[order], np.concatenate(place)[order], length))
-
-    def shared(self, codes: np.ndarray, letter: bool) -> dict[int, list[tuple[int, int]]]:
-        """By item: the pairs of places (document, item) where a seed is shared."""
-        hashes, owner, place, length = self.sides[letter]
-        own = running_hash(codes, length)
-        if not len(own) or not len(hashes):
-            return {}
-        low = np.searchsorted(hashes, own, "left")
-        hit = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == own))
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i in hit:
-            at = low[i]
-            while at < len(hashes) and hashes[at] == own[i]:
-                found.setdefault(int(owner[at]), []).append((int(i), int(place[at])))
-                at += 1
-        return found
+
+def _passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _positions(hashes, len(table) * 64)
+    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+
+def _shared(one: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of places with equal hashes."""
+    order = np.argsort(other, kind="stable")
+    low, high = np.searchsorted(other[order], one, "left"), np.searchsorted(other[order], one, "right")
+    return [(int(i), int(order[j])) for i in np.flatnonzero(high > low) for j in range(low[i], high[i])]
 
 
 def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, seed_letters: int = 20, longest: int = 12, longest_letters: int = 20, coverage: float = 2.0) -> DataFrame:
@@ -142,46 +152,59 @@ def leaks(documents: DataFrame, items: DataFrame, seed: int = 12, seed_letters:
     A pair counts if its longest tile has at least ``longest`` words (``longest_letters`` letters for the languages of
     :data:`BY_LETTER`), or if the tiles of at least ``seed`` tokens cover at least the share ``coverage`` of the item. Null and empty
     texts match nothing; of rows with equal ids each is compared by itself, and the pair is reported for each."""
-    blocks: list[list[tuple]] = [[]]
-    held = 0
-    for row in items.select("item_id", "lang", "text").where("text is not null").orderBy("item_id").toLocalIterator():
-        if held + len(row.text) // 2 > BLOCK_SEEDS and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append(tuple(row))
-        held += len(row.text) // 2
     kinds = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    rows = documents.select("doc_id", "text").where("text is not null")
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_tiles int, longest int, covered double"
-    out = None
-    for block in blocks:
-        shipped = documents.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            test = _Items(shipped.value, seed, seed_letters)
-            known: dict[str, int] = {}
-            for batch in batches:
-                at, found = [], []
-                for n, text in enumerate(batch.column("text").to_pylist()):
-                    token = words(text)
-                    joined = "".join(token)
-                    if len(known) > 2_000_000:
-                        known.clear()
-                    for letter, codes, own in ((False, None, token), (True, None, joined)):
-                        if not len(test.sides[letter][0]):
-                            continue
-                        codes = _letters(joined) if letter else _codes(token, known)
-                        for item, pairs in test.shared(codes, letter).items():
-                            tiled = tiles(own, test.tokens[item], pairs, test.sides[letter][3])
-                            if tiled:
-                                covered = sum(t[2] for t in tiled) / len(test.tokens[item])
-                                if tiled[0][2] >= (longest_letters if letter else longest) or covered >= coverage:
-                                    at.append(n)
-                                    found.append((test.ids[item], len(tiled), tiled[0][2], covered))
-                kinds = [batch.schema.field("doc_id").type, pa.int64() if all(isinstance(f[0], int) for f in found) else pa.string(), pa.int32(), pa.int32(), pa.float64()]
-                columns = [batch.column("doc_id").take(pa.array(at, pa.int64()))] + [pa.array([f[i] for f in found], kinds[i + 1]) for i in range(4)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "n_tiles", "longest", "covered"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    letter = F.coalesce(F.col("lang").isin(*BY_LETTER), F.lit(False)).alias("letter")
+    tests = cut(items.where("text is not null").select("item_id", letter, F.col("text").alias("test"), F.monotonically_increasing_id().alias("item")))
+
+    def hash_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            found = [np.unique(_hashes(t, k, seed_letters if k else seed, known)[1]) for t, k in zip(batch.column("test").to_pylist(), batch.column("letter").to_pylist())]
+            place = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64())
+            hashes = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(place), batch.column("letter").take(place), pa.array(hashes)], ["item", "letter", "hash"])
+
+    seeds = cut(tests.mapInArrow(hash_items, "item bigint, letter boolean, hash bigint"))
+    counts = {r.letter: r["count"] for r in seeds.groupBy("letter").count().collect()}  # two rows at most
+    shipped = documents.sparkSession.sparkContext.broadcast((_filter(seeds, sum(counts.values())), [(k, seed_letters if k else seed) for k in counts]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, ways = shipped.value
+        known: dict[str, int] = {}
+        for batch in batches:
+            at, hits = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
+                own = np.concatenate([np.zeros(0, np.uint64), *[_hashes(text, k, length, known)[1] for k, length in ways]])
+                own = np.unique(own[_passes(table, own)])
+                if len(own):
+                    at.append(n)
+                    hits.append(own.view(np.int64))
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(place), batch.column("text").take(place), pa.array(hits, pa.list_(pa.int64()))], ["doc_id", "text", "hits"])
+
+    held = documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, f"doc_id {kinds[0]}, text string, hits array<bigint>")
+    held = cut(held.withColumn("row", F.monotonically_increasing_id()))
+    pairs = held.select("row", F.explode("hits").alias("hash")).join(seeds.select("item", "hash"), "hash").select("row", "item").distinct()
+    both = held.select("row", "doc_id", "text").join(pairs, "row").join(tests, "item").select("doc_id", "text", "item_id", "letter", "test")
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        tokens = lru_cache(1_024)(lambda text, by_letter, length: _hashes(text, by_letter, length, known))  # a text comes once for each of its pairs
+        for batch in batches:
+            at, found = [], []
+            columns = [batch.column(c).to_pylist() for c in ("text", "test", "letter")]
+            for n, (text, test, by_letter) in enumerate(zip(*columns)):
+                length = seed_letters if by_letter else seed
+                (own, mine), (wanted, other) = (tokens(t, by_letter, length) for t in (text, test))
+                tiled = tiles(own, wanted, _shared(mine, other), length)
+                if tiled:
+                    covered = sum(t[2] for t in tiled) / len(wanted)
+                    if tiled[0][2] >= (longest_letters if by_letter else longest) or covered >= coverage:
+                        at.append(n)
+                        found.append((len(tiled), tiled[0][2], covered))
+            place = pa.array(at, pa.int64())
+            values = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(place), batch.column("item_id").take(place), *values], ["doc_id", "item_id", "n_tiles", "longest", "covered"])
+
+    return both.mapInArrow(tile, schema)

@@ -80,8 +80,9 @@ def test_running_hash_is_the_same_wherever_a_run_stands():
     assert h[0] == h[3] == h[7] and len(set(h.tolist())) == 6 and len(L.running_hash(codes[:2], 3)) == 0
 
 
-def test_leaks(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_SEEDS", 20)
+@pytest.mark.parametrize("bits", [64, L.MOST_BITS])  # a filter that all hashes pass, and the usual one
+def test_leaks(spark, monkeypatch, bits):
+    monkeypatch.setattr(L, "MOST_BITS", bits)
     item = " ".join(f"w{i}" for i in range(30))
     ja = "再現率が下がるので同期エージェントが差分を書き直します"
     docs = [
