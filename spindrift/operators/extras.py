@@ -28,8 +28,8 @@ def char_shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))} if text else set()
 
 
-def _bands(text: str) -> list[int]:
-    values = np.array([xxhash.xxh32_intdigest(s) for s in char_shingles(text)], np.uint64)
+def _bands(parts: set[str]) -> list[int]:
+    values = np.array([xxhash.xxh32_intdigest(s) for s in parts], np.uint64)
     if not len(values):
         return []
     with np.errstate(over="ignore"):
@@ -37,9 +37,9 @@ def _bands(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(signature[i : i + BAND].tobytes(), seed=i) - 2**63 for i in range(0, HASHES, BAND)]
 
 
-def linked_texts(texts: list[str], least: float) -> list[tuple[int, int]]:
+def linked_texts(texts: list[str], least: float, shingles: Callable[[str], set[str]] = char_shingles) -> list[tuple[int, int]]:
     """Places (text, representative) that connect the texts as all pairs with a Jaccard similarity of ``least`` and more do."""
-    sets = [char_shingles(t) for t in texts]
+    sets = [shingles(t) for t in texts]
     n = len(sets)
     if n <= 8:
         near = np.zeros((n, n), bool)
@@ -76,8 +76,9 @@ def linked_texts(texts: list[str], least: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text: str = "content") -> DataFrame:
-    """id, canonical of every chunk: the smallest id of those linked to it by a Jaccard similarity of character shingles of ``least`` and more.
+def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text: str = "content", shingles: Callable[[str], set[str]] = char_shingles) -> DataFrame:
+    """id, canonical of every chunk: the smallest id of those linked to it by a Jaccard similarity of ``shingles`` (of characters, unless others are
+    given) of ``least`` and more.
 
     Equal texts are one node. All pairs of a band are verified on the whole texts: a band of more than BLOCK texts is split into blocks, of which
     each two meet in a task, and the texts' shingles are compared by matrix products. Null texts stand alone."""
@@ -86,7 +87,7 @@ def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_bands(t) for t in batch.column("text").to_pylist()]
+            found = [_bands(shingles(t)) for t in batch.column("text").to_pylist()]
             place = pa.array([i for i, b in enumerate(found) for _ in b], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node").take(place), pa.array([x for b in found for x in b], pa.int64())], ["node", "band"])
 
@@ -99,7 +100,7 @@ def near_duplicates(chunks: DataFrame, least: float = 0.8, id: str = "id", text:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: pa.Table) -> pa.RecordBatch:
-            found = linked_texts(group.column("text").to_pylist(), least)
+            found = linked_texts(group.column("text").to_pylist(), least, shingles)
             own = group.column("node").combine_chunks()
             return pa.RecordBatch.from_arrays([own.take(pa.array([p[i] for p in found], pa.int64())) for i in (0, 1)], ["src", "dst"])
 
