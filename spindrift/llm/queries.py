@@ -27,7 +27,7 @@ def p2_described(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    return answers.defects(table(spark, directory, "cache_entries"))
+    return answers.defects(table(spark, directory, "cache_entries"), table(spark, directory, "documents").select("text", "lang"))
 
 
 P5_KEYS = ["measure", "collection"]

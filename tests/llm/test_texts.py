@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from spindrift.llm import answers as A
 from spindrift.llm import leaks as L
 from spindrift.llm.sentences import sentence_units, units
+from spindrift.runtime import table
 
 
 @pytest.mark.parametrize(
@@ -140,27 +141,29 @@ Q = "How do I flush the delta batch in reviews?"
         (None, "Stop the writer.", None),
     ],
 )
-def test_single_pairs(query, response, defect):
+def test_single_pairs(profiles, query, response, defect):
     if A.is_empty(response, query):
         found = "empty"
     elif A.is_copy(response, query):
         found = "copy"
     else:
-        declines, ends = A.declines(response)
-        found = "refusal" if declines and ends else "wrong_language" if A.is_wrong_language(response, query) else "truncated" if A.is_truncated(response) else None
+        found = "refusal" if A.declines(A.sentences(response)) else "wrong_language" if A.wrong_languages(profiles, [query], [response])[0] else "truncated" if A.is_truncated(response) else None
     assert found == defect
 
 
-def test_minhash_bands_find_what_jaccard_verifies():
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(50)]
-    hits = 0
-    for _ in range(40):
-        a = rng.sample(words, 30)
-        b = a[:29] + ["new"]
-        assert A.jaccard(" ".join(a), " ".join(b)) >= A.SIMILAR
-        hits += bool(set(A.bands(" ".join(a))) & set(A.bands(" ".join(b))))
-    assert hits >= 39 and A.bands("") == []
+@pytest.fixture(scope="module")
+def profiles(spark):
+    return A.fit_profiles(table(spark, "/root/testdata/sf0.01", "documents").select("text", "lang"))
+
+
+def test_profiles_tell_languages(spark, profiles):
+    """Held out: documents of another table whose labels agree with their scripts; wrong labels are among them."""
+    rows = table(spark, "/root/testdata/check_s", "documents").where("lang in ('en', 'de', 'fr', 'es') and length(text) > 60").select("text", "lang").limit(400).collect()
+    n, scores = profiles.scores([r.text for r in rows])
+    right = [profiles.names[i] == r.lang for i, r in zip(scores.argmax(1), rows)]
+    assert sum(right) >= 0.9 * len(right)
+    number, bucket = A.trigrams(["", "a", "ab  cd", None or "12 34", "x\x1ey"])
+    assert len(number) == len(bucket) and set(number.tolist()) == {1, 2, 4}
 
 
 def test_templates_reveal_refusals(spark):
@@ -176,7 +179,7 @@ def test_templates_reveal_refusals_the_lexicon_lacks(spark):
     asked = [f"{'Why How When Where'.split()[i % 4]} {'fails runs starts stops grows'.split()[i % 5]} {t}?" for i, t in enumerate(topics)]
     odd, two = "That lies beyond my remit.", "This matter is off the table today. The desk upstairs deals with such things."
     for wording in (odd, odd + " Thank you.", two):
-        assert not A._DECLINES.search(wording)
+        assert not A.declines(A.sentences(wording))
     rows = [(i, q, odd + (" Thank you." if i % 2 else "")) for i, q in enumerate(asked)]
     rows += [(20 + i, q, two) for i, q in enumerate(asked)]
     # the opening goes on to an answer; a form that is filled in; a value; one question in other words
@@ -186,6 +189,8 @@ def test_templates_reveal_refusals_the_lexicon_lacks(spark):
     rows += [(70 + i, f"{w} restart replicas?", "Run the nightly job once more.") for i, w in enumerate("please could kindly quickly safely slowly".split())]
     frame = spark.createDataFrame(rows, "entry_id bigint, query string, response string")
     assert sorted(map(tuple, A.defects(frame).collect())) == [(i, "refusal") for i in [*range(8), *range(20, 28)]]
+    # without any word list: "Thank you." is too rare here to be told as a courtesy
+    assert sorted(map(tuple, A.defects(frame, lexicon=False).collect())) == [(i, "refusal") for i in range(20, 28)]
 
 
 def test_every_standard_terminator_ends_a_sentence():
