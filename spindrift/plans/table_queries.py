@@ -159,9 +159,11 @@ def latency_report(spark, directory):
 # ---- text ------------------------------------------------------------------------------------------------------------------
 
 _TERMS = ["recall", "snapshot", "writer"]
+#: The forms of the terms that share their stem.
+_FORMS = {t: ", ".join(f"'{t}{e}'" for e in ("", "s", "ed", "ing", "ted", "ting")) for t in _TERMS}
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-_WORDS = f"d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: len(t) > 1 AND t NOT IN ({_STOP})) AS w FROM documents)"
-_BM25 = f"""{_WORDS}, c AS (SELECT doc_id, len(w) AS l, {', '.join(f"len(list_filter(w, lambda t: t = '{t}'))::DOUBLE AS t{i}" for i, t in enumerate(_TERMS))} FROM d),
+_WORDS = f"d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda t: strlen(t) > 1 AND t NOT IN ({_STOP})) AS w FROM documents)"
+_BM25 = f"""{_WORDS}, c AS (SELECT doc_id, len(w) AS l, {', '.join(f"len(list_filter(w, lambda t: t IN ({_FORMS[t]})))::DOUBLE AS t{i}" for i, t in enumerate(_TERMS))} FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS m, {', '.join(f'sum((t{i} > 0)::INT) AS d{i}' for i in range(3))} FROM c),
 b AS (SELECT doc_id, {' + '.join(f'ln((n - d{i} + 0.5) / (d{i} + 0.5) + 1) * t{i} * 2.5 / (t{i} + 1.5 * (0.25 + 0.75 * l / m))' for i in range(3))} AS score FROM c, s)"""
 
@@ -183,7 +185,7 @@ o AS (SELECT doc_id, ({' + '.join(f"CASE WHEN list_contains(u, '{t}') THEN ln((n
 
 @query("term_overlap_rerank", f"WITH {_OVERLAP} SELECT doc_id, round(score, 6) AS score FROM o WHERE score > 0")
 def term_overlap_rerank(spark, directory):
-    return text.term_overlap(table(spark, directory, "documents"), _TERMS).select("doc_id", r6("score"))
+    return text.term_overlap(table(spark, directory, "documents"), _TERMS, stem=False).select("doc_id", r6("score"))
 
 
 @query(
@@ -203,7 +205,7 @@ def rrf_hybrid(spark, directory):
 
 @query("postings", f"WITH {_WORDS} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2")
 def postings(spark, directory):
-    return text.inverted(table(spark, directory, "documents"))
+    return text.inverted(table(spark, directory, "documents"), stem=False)
 
 
 @query(

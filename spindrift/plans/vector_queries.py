@@ -365,9 +365,9 @@ def centroid_by_label(spark, directory):
     return aggregates.dimensions(vectors(spark, directory), ["label"]).select("label", F.col("pos").cast("bigint").alias("pos"), r6("mean"))
 
 
-@query("medoid_by_label", f"WITH {_MEANS} SELECT label, arg_min(vec_id, d) AS medoid, round(min(d), 6) AS distance FROM f GROUP BY label")
+@query("medoid_by_label", f"WITH {_E}, s AS (SELECT a.label, a.vec_id, sum(list_distance(a.v, b.v)) AS s FROM e a JOIN e b ON a.label = b.label GROUP BY 1, 2) SELECT label, arg_min(vec_id, {{'s': round(s, 9), 'i': vec_id}}) AS medoid, round(min(s), 5) AS distance FROM s GROUP BY label")
 def medoid_by_label(spark, directory):
-    return aggregates.medoids(vectors(spark, directory), ["label"], "vec_id").select("label", "medoid", r6())
+    return aggregates.medoids(vectors(spark, directory), ["label"], "vec_id").select("label", "medoid", F.round("distance", 5).alias("distance"))
 
 
 @query("spread_by_label", f"WITH {_MEANS} SELECT label, count(*) AS n, round(avg(d * d), 6) AS spread FROM f GROUP BY label")

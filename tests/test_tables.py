@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.filters import FilterError, Json, Typed, compile_filter, filter_of_words, mini_regex
 from spindrift.operators import text
-from spindrift.sources.collections import Database, read_jsonl
+from spindrift.sources.collections import Conflict, Database, read_jsonl
 from spindrift.streaming import changes
 
 DOCS = [(1, '{"n": 10, "s": "10", "b": true, "a": ["x", "y"], "o": {"p": [5]}, "z": null}'), (2, '{"n": 10.0}'), (3, "{}"), (4, "no json"), (5, None)]
@@ -113,8 +113,31 @@ def test_collections(spark, tmp_path):
     c.restore("before")
     assert sorted(r.id for r in c.rows().collect()) == ["a", "b"]
     assert c.digest() == c.digest()
+    with pytest.raises(ValueError):
+        db.drop("notes")  # an alias names it
+    assert db.unalias("n") and not db.unalias("n")
     db.drop("notes")
-    assert db.names() == []
+    assert db.names() == [] and db.vacuum() > 0
+
+
+def test_writers_conflict(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.create("notes", 1)
+    one = lambda i: spark.createDataFrame([(i, [1.0])], "id string, vector array<float>")
+    stale = db.manifest()
+    c.insert(one("a"))
+    with pytest.raises(Conflict):
+        db._publish(stale)  # a writer that read before the insert
+    for i in range(20):
+        c.upsert(one(f"x{i % 3}"))
+    assert len(c.config()["segments"]) <= 17 and c.count() == 4 and len(db._numbers()) <= 8
+    with pytest.raises(KeyError):
+        c.update(one("none"))
+    c.set_schema({"k": {"type": "integer", "required": True}})
+    with pytest.raises(ValueError):
+        c.insert(one("b"))
+    assert c.insert_unless_near(one("c").withColumn("metadata", F.lit('{"k": 1}')), 0.1, "merge").count() == 1
+    assert sorted(r.metadata for r in c.rows().collect() if r.metadata) == ['{"k":1}']
 
 
 def test_jsonl(spark, tmp_path):
