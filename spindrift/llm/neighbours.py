@@ -3,15 +3,18 @@
 Vectors are grouped by a ``collection``; similarity is the cosine. Rows whose vector is unsound (null, not ``width``
 wide, a NaN or infinite value, all zero) or whose id or collection is null are left out: they are no vectors.
 
-Method. Each collection is cut into shards of at most :data:`SHARD_ROWS` vectors by a hash of the id, its queries into
-blocks of at most :data:`BLOCK_ROWS`; one task answers one block from one shard, so that neither a hot collection nor a
-large one meets in one task, and the answers of the shards are merged by rank. In a task the two halves of the vectors
-are quantised separately (k-means on a bounded sample, see :data:`SAMPLE_ROWS`); every vector is then entered in the
-cell of its pair of centroids. Queries that fall in the same cell share one traversal: a heap yields the centroid pairs by
-the sum of the two distances from the queries' mean until :func:`scan_target` entries are gathered, and these
-are reranked for every query by the full inner product. Copies of a vector are indexed once and expanded again.
-
-Accuracy. What is lost are neighbours in cells beyond the scan target. README.md gives the recall measured against
+Method. Each collection has one index. The two halves of its vectors are quantised separately (k-means on a bounded sample, see
+:data:`SAMPLE_ROWS`), and every vector is entered in the cell of its pair of centroids. For each query a heap yields the centroid pairs by
+the sum of the two distances, until the cells hold :func:`scan_target` entries, and these are reranked by the full inner product. A collection of
+at most :data:`SCAN_ROWS` vectors is one cell.
+
+The cells are put together, in their order, to regions of about :data:`REGION_ROWS` entries, the unit of the shuffle: an entry goes to its
+region, a query to the regions of its cells only, with the list of these cells. A cell that is larger than a region is cut into slices by a hash of
+the id, and a region with many queries answers them in blocks of :data:`BLOCK_ROWS`, so that neither a hot collection nor a hot cell meets in one
+task. The answers of the regions are merged by rank. Codebooks and counts of a collection's cells travel beside its rows as one row per block,
+so that there may be any number of collections. Copies of a vector are scored once and expanded again.
+
+Accuracy. What is lost are neighbours in cells beyond the scan target; ``exact`` scans all. README.md gives the recall measured against
 brute force. Similarities are exact (float32 products of unit vectors)."""
 
 from __future__ import annotations
@@ -28,16 +31,25 @@ from pyspark.sql import functions as F
 
 from spindrift.runtime import cut, small
 
-#: Most vectors of one shard, most queries of one block (about 256 bytes each in memory, a few times over).
-SHARD_ROWS, BLOCK_ROWS = 131_072, 65_536
-#: Vectors of a shard that the codebooks are fitted on, at most; the index holds all of them.
+#: Entries of a region, most queries of one block (about 256 bytes each in memory, a few times over).
+REGION_ROWS, BLOCK_ROWS = 131_072, 65_536
+#: Vectors of a collection that its codebooks are fitted on, at most; the index holds all of them.
 SAMPLE_ROWS = 8_192
-#: Entries scanned for a query in a shard of at most that many vectors; beyond, the target grows as a power of the shard.
+#: Entries scanned for a query in a collection of at most that many vectors; beyond, the target grows as a power of the collection.
 SCAN_ROWS, SCAN_POWER = 8_192, 2 / 3
+#: Entries of a cell on average, and most centroids of a half.
+CELL_ROWS, MOST_CENTROIDS = 256, 256
+
+
+def centroids_of(rows: int, scan: int | None = None, per_cell: int | None = None) -> int:
+    """Centroids of each half for a collection of ``rows`` vectors."""
+    if rows <= (scan or SCAN_ROWS):
+        return 1
+    return int(np.clip(round((rows / (per_cell or CELL_ROWS)) ** 0.5), 2, MOST_CENTROIDS))
 
 
 def scan_target(rows: int) -> int:
-    """Entries gathered for each query from a shard of ``rows`` vectors."""
+    """Entries gathered for each query from a collection of ``rows`` vectors."""
     return int(SCAN_ROWS * max(1.0, rows / SCAN_ROWS) ** SCAN_POWER)
 
 
@@ -108,27 +120,73 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
 
 
-def closest_cells(first: np.ndarray, second: np.ndarray, counts: np.ndarray, target: int) -> list[int]:
+def closest_cells(first: list[float], second: list[float], by_first: list[int], by_second: list[int], counts: list[int], target: int) -> list[int]:
     """Numbers of the non-empty cells with the smallest ``first[i] + second[j]`` that hold ``target`` entries together.
 
+    ``first`` and ``second`` are the sorted distances to the centroids of the halves, ``by_first`` and ``by_second`` these centroids.
     Multi-sequence traversal: from each pair of ranks taken off the heap, the next rank of the second half is put on,
     and from the first of a row also the next row, so that every pair is met once, in the order of its sum."""
-    by_first, by_second = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    a, b = first[by_first].tolist(), second[by_second].tolist()
-    held = counts[np.ix_(by_first, by_second)].tolist()
-    heap, cells, total, size = [(a[0] + b[0], 0, 0)], [], 0, len(a)
+    size = len(first)
+    heap, cells, total = [(first[0] + second[0], 0, 0)], [], 0
     while heap and total < target:
         _, i, j = heapq.heappop(heap)
-        if held[i][j]:
-            cells.append(int(by_first[i]) * size + int(by_second[j]))
-            total += held[i][j]
+        cell = by_first[i] * size + by_second[j]
+        if counts[cell]:
+            cells.append(cell)
+            total += counts[cell]
         if j + 1 < size:
-            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+            heapq.heappush(heap, (first[i] + second[j + 1], i, j + 1))
         if j == 0 and i + 1 < size:
-            heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
+            heapq.heappush(heap, (first[i + 1] + second[0], i + 1, 0))
     return cells
 
 
+def traversals(queries: np.ndarray, left: np.ndarray, right: np.ndarray, counts: np.ndarray, target: int) -> list[list[int]]:
+    """The cells that each query is answered from, nearest first."""
+    half, held = left.shape[1], counts.tolist()
+    if len(left) == 1:
+        return [[0]] * len(queries)
+    sides = []
+    for centres, part in ((left, queries[:, :half]), (right, queries[:, half:])):
+        far = (centres * centres).sum(1) - 2 * part @ centres.T
+        order = np.argsort(far, axis=1, kind="stable")
+        sides.append((np.take_along_axis(far, order, axis=1).tolist(), order.tolist()))
+    return [closest_cells(a, b, i, j, held, target) for a, i, b, j in zip(*sides[0], *sides[1])]
+
+
+def best_in_cells(units: np.ndarray, cell: np.ndarray, queries: np.ndarray, cells: list[list[int]], k: int, at_least: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the rows of ``units`` in its cells with the largest inner products, best first, and these products.
+    Places that stay empty hold -1 and minus infinity; products below ``at_least`` may be left out."""
+    found, scores = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -np.inf, np.float32)
+    if not len(units) or not len(queries):
+        return found, scores
+    order = np.argsort(cell, kind="stable")
+    names, begin = np.unique(cell[order], return_index=True)
+    end = np.r_[begin[1:], len(order)]
+    asked = np.repeat(np.arange(len(queries)), [len(c) for c in cells])
+    wanted = np.concatenate([np.asarray(c, np.int64) for c in cells]) if len(asked) else np.zeros(0, np.int64)
+    by_cell = np.argsort(wanted, kind="stable")
+    low, high = np.searchsorted(wanted[by_cell], names, "left"), np.searchsorted(wanted[by_cell], names, "right")
+    for a, b, x, y in zip(begin, end, low, high):
+        entries, members = order[a:b], asked[by_cell[x:y]]
+        held = units[entries]
+        for at in range(0, len(members), 256):
+            part = members[at : at + 256]
+            product = queries[part] @ held.T
+            useful = product.max(1) > np.maximum(scores[part, -1], at_least - 1e-6)
+            part, product = part[useful], product[useful]
+            if not len(part):
+                continue
+            best = best_columns(product, k)
+            values = np.concatenate([scores[part], np.take_along_axis(product, best, axis=1)], axis=1)
+            rows = np.concatenate([found[part], entries[best]], axis=1)
+            top = np.argpartition(-values, k - 1, axis=1)[:, :k] if values.shape[1] > k else np.tile(np.arange(values.shape[1]), (len(part), 1))
+            values, rows = np.take_along_axis(values, top, axis=1), np.take_along_axis(rows, top, axis=1)
+            sort = np.argsort(-values, axis=1, kind="stable")
+            scores[part], found[part] = np.take_along_axis(values, sort, axis=1), np.take_along_axis(rows, sort, axis=1)
+    return found, scores
+
+
 def best_columns(scores: np.ndarray, k: int, span: int = 16) -> np.ndarray:
     """Columns of the ``k`` largest scores of each row, in no order. The largest lie in the spans with the largest maxima."""
     rows, width = scores.shape
@@ -146,44 +204,29 @@ def best_columns(scores: np.ndarray, k: int, span: int = 16) -> np.ndarray:
     return np.take_along_axis(columns, np.argpartition(-values, k - 1, axis=1)[:, :k], axis=1)
 
 
+def fit(sample: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codebooks of the two halves."""
+    half = sample.shape[1] // 2
+    return codebook(sample[:, :half], size), codebook(sample[:, half:], size)
+
+
+def cells_of(units: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of the cell of each vector."""
+    half = left.shape[1]
+    return nearest(units[:, :half], left) * len(left) + nearest(units[:, half:], right)
+
+
 def search(units: np.ndarray, queries: np.ndarray, k: int, target: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the rows of ``units`` with the largest inner products found, best first, and these products.
-    Places that stay empty hold -1 and minus infinity."""
-    found = np.full((len(queries), k), -1, np.int64)
-    scores = np.full((len(queries), k), -np.inf, np.float32)
+    """:func:`best_in_cells` over an index of ``units`` that is made for the purpose: for what one task holds."""
     if not len(units) or not len(queries):
-        return found, scores
-    size = int(np.clip(round((len(units) / 64) ** 0.5), 1, 64))
-    half = units.shape[1] // 2
+        return best_in_cells(units, np.zeros(0, np.int64), queries, [[]] * len(queries), k)
     sample = units
     if len(units) > SAMPLE_ROWS:
         sample = units[np.random.default_rng(11).choice(len(units), SAMPLE_ROWS, replace=False)]
-    left, right = codebook(sample[:, :half], size), codebook(sample[:, half:], size)
-    cell = nearest(units[:, :half], left) * size + nearest(units[:, half:], right)
-    entries = np.argsort(cell, kind="stable")
-    ordered = units[entries]
-    counts = np.bincount(cell, minlength=size * size)
-    start = np.r_[0, np.cumsum(counts)]
-    target = target or scan_target(len(units))
-    asked = nearest(queries[:, :half], left) * size + nearest(queries[:, half:], right)
-    by_cell = np.argsort(asked, kind="stable")
-    edges = np.r_[np.flatnonzero(np.diff(asked[by_cell], prepend=-1)), len(by_cell)]
-    for low, high in zip(edges[:-1], edges[1:]):
-        group = by_cell[low:high]
-        mean = queries[group].mean(0)
-        far = [((centres - part) ** 2).sum(1) for centres, part in ((left, mean[:half]), (right, mean[half:]))]
-        cells = closest_cells(*far, counts.reshape(size, size), target)
-        rows = np.concatenate([np.arange(start[c], start[c + 1]) for c in cells])
-        candidates = ordered[rows]
-        for at in range(0, len(group), 256):
-            part = group[at : at + 256]
-            product = queries[part] @ candidates.T
-            best = best_columns(product, k)
-            value = np.take_along_axis(product, best, axis=1)
-            order = np.argsort(-value, axis=1, kind="stable")
-            found[part, : best.shape[1]] = entries[rows[np.take_along_axis(best, order, axis=1)]]
-            scores[part, : best.shape[1]] = np.take_along_axis(value, order, axis=1)
-    return found, scores
+    left, right = fit(sample, centroids_of(len(units)))
+    cell = cells_of(units, left, right)
+    counts = np.bincount(cell, minlength=len(left) ** 2)
+    return best_in_cells(units, cell, queries, traversals(queries, left, right, counts, target or scan_target(len(units))), k)
 
 
 def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +240,7 @@ def distinct_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _answer(k: int, at_least: float, width: int, distinct: bool, names: list[str]):
-    """The function that answers a block of queries from a shard."""
+    """The function that answers a block of queries from a region."""
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         ids = vectors.column("id").to_numpy()
@@ -208,12 +251,14 @@ def _answer(k: int, at_least: float, width: int, distinct: bool, names: list[str
         wanted = matrix(queries.column("unit"), width)
         if not len(ids) or not len(asked):
             return pa.table({n: pa.array([], t) for n, t in zip(names, types(vectors))})
+        cell = vectors.column("cell").to_numpy()[order]
+        cells = queries.column("cells").to_pylist()
         first, number = distinct_rows(units)
         first_asked, which = distinct_rows(wanted)
         members = np.argsort(number, kind="stable")
         count = np.bincount(number)
         begin = np.r_[0, np.cumsum(count)[:-1]]
-        best, value = search(units[first], wanted[first_asked], k + 1)
+        best, value = best_in_cells(units[first], cell[first], wanted[first_asked], [cells[i] for i in first_asked], k + 1, at_least)
         used = np.where((best >= 0) & (value >= at_least), np.minimum(count[best], 1 if distinct else k + 1), 0)
         # each distinct query's neighbours, with their copies (the smallest ids first)
         per_query = used.sum(1)
@@ -249,7 +294,7 @@ def _answer(k: int, at_least: float, width: int, distinct: bool, names: list[str
 
 
 def similar_vectors(
-    vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, at_least: float = -2.0, width: int = 64, distinct: bool = False
+    vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, at_least: float = -2.0, width: int = 64, distinct: bool = False, exact: bool = False
 ) -> DataFrame:
     """The ``k`` most similar vectors of its collection for every vector, and for every query.
 
@@ -257,7 +302,7 @@ def similar_vectors(
     or a number and is unique in its table and collection. Result: collection, kind (``vector`` or ``query``: what was
     asked), id, neighbour, similarity; a vector is not its own neighbour. Neighbours below ``at_least`` are left out.
     Ties are broken by the smaller id. Collections without vectors, and empty tables, give no rows.
-    ``distinct``: of copies of a vector only the one with the smallest id (in each shard) is a neighbour."""
+    ``distinct``: of copies of a vector only the one with the smallest id (in each slice) is a neighbour. ``exact``: all cells are scanned."""
     kind = dict(vectors.dtypes)["id"]
     names = ["collection", "kind", "id", "neighbour", "similarity"]
     usable = F.col("collection").isNotNull() & F.col("id").isNotNull()
@@ -265,31 +310,112 @@ def similar_vectors(
     asked = vectors.select(*[F.col(c).alias(c) for c in vectors.columns], F.lit("vector").alias("kind"))  # new columns, not a self-join
     if queries is not None:
         asked = asked.unionByName(queries.where(usable).select("collection", F.col("id").cast(kind), "unit").withColumn("kind", F.lit("query")))
-    held = vectors.groupBy("collection").agg(F.count("*").alias("n"))
-    wants = asked.groupBy("collection").agg(F.count("*").alias("q"))
-    sizes = small(
-        cut(held.join(wants, "collection")).select(
-            "collection",
-            F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("shards"),
-            F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("blocks"),
-        )
-    )
-    cells = ["collection", "shard", "block"]
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = vectors.join(sizes, "collection").select("collection", "id", "unit", part("shards").alias("shard"), each("blocks").alias("block"))
-    right = asked.join(sizes, "collection").select("collection", "id", "unit", "kind", part("blocks").alias("block"), each("shards").alias("shard"))
+    sizes = cut(vectors.groupBy("collection").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > SCAN_ROWS)
+    entries = vectors.join(small(large), "collection", "left_anti").withColumn("cell", F.lit(0))
+    routed = asked.join(small(sizes.where(F.col("n") <= SCAN_ROWS)), "collection", "left_semi")
+    routed = routed.select("collection", "id", "unit", "kind", F.lit(0).alias("region"), F.lit(0).alias("slice"), F.array(F.lit(0)).alias("cells"))
+    many = large.limit(1).count() > 0
+    if many:
+        header, indexed = _indexes(vectors, large, width)
+        entries = entries.select("collection", "id", "unit", "cell", F.lit(0).alias("region"), F.lit(0).alias("slice")).unionByName(indexed)
+        routed = routed.unionByName(_routes(asked, header, kind, width, exact))
+    else:
+        entries = entries.select("collection", "id", "unit", "cell", F.lit(0).alias("region"), F.lit(0).alias("slice"))
+    place = ["collection", "region", "slice"]
+    routed = cut(routed)
+    blocks = cut(routed.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+    left = entries.join(small(blocks), place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(small(blocks), place).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left, right = (x.select(*[F.col(c).alias(c) for c in x.columns if c != "blocks"]) for x in (left, right))  # new columns, not a self-join
     found = (
-        left.groupBy(*cells)
-        .cogroup(right.groupBy(*cells))
+        left.groupBy(*place, "block")
+        .cogroup(right.groupBy(*place, "block"))
         .applyInArrow(_flat_key(_answer(k, at_least, width, distinct, names)), f"collection string, kind string, id {kind}, neighbour {kind}, similarity float")
     )
-    if sizes.where("shards > 1").limit(1).count():
+    if many and blocks.where("region > 0 or slice > 0").limit(1).count():
         best = W.partitionBy("collection", "kind", "id").orderBy(F.desc("similarity"), "neighbour")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
     return found
 
 
+def _indexes(vectors: DataFrame, large: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(header, entries) of the collections in ``large`` (collection, n).
+
+    header: collection, n, books (both codebooks), cells (cell, n, region, slices: at most the square of MOST_CENTROIDS).
+    entries: collection, id, unit, cell, region, slice."""
+    rows = vectors.join(small(large), "collection")
+    kind = dict(vectors.dtypes)["id"]
+    picked = W.partitionBy("collection").orderBy(F.xxhash64("id"), "id")
+    sample = rows.select("collection", "n", "unit", F.row_number().over(picked).alias("place")).where(F.col("place") <= SAMPLE_ROWS)
+
+    scan, per_cell = SCAN_ROWS, CELL_ROWS
+
+    def books(key: tuple, table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        both = fit(matrix(table.column("unit"), width)[np.argsort(table.column("place").to_numpy())], centroids_of(n, scan, per_cell))
+        return pa.table({"collection": [key[0].as_py()], "n": [n], "books": [np.concatenate(both, axis=1).astype(np.float32).tobytes()]})
+
+    fitted = cut(sample.groupBy("collection").applyInArrow(books, "collection string, n bigint, books binary"))
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+
+    def enter(key: tuple, table: pa.Table, book: pa.Table) -> pa.Table:
+        left, right = _books(book.column("books")[0].as_py(), width)
+        cell = cells_of(matrix(table.column("unit"), width), left, right) if len(table) else np.zeros(0, np.int64)
+        return pa.table({"collection": table.column("collection"), "id": table.column("id"), "unit": table.column("unit"), "cell": pa.array(cell, pa.int32())})
+
+    blocked = rows.select(F.col("collection").alias("collection"), F.col("id").alias("id"), F.col("unit").alias("unit"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    copies = fitted.select("collection", "books", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    entered = cut(blocked.groupBy("collection", "block").cogroup(copies.groupBy("collection", "block")).applyInArrow(enter, f"collection string, id {kind}, unit binary, cell int"))
+    order = W.partitionBy("collection").orderBy("cell")  # a row per cell
+    cells = entered.groupBy("collection", "cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))
+    cells = cells.withColumn("region", F.floor(F.coalesce(before, F.lit(0)) / REGION_ROWS).cast("int")).withColumn("slices", F.ceil(F.col("n") / REGION_ROWS).cast("int"))
+    cells = cut(cells)
+    header = fitted.join(cells.groupBy("collection").agg(F.collect_list(F.struct("cell", "n", "region", "slices")).alias("cells")), "collection")
+    placed = entered.join(small(cells.drop("n"), 1_000_000), ["collection", "cell"])
+    return cut(header), placed.select("collection", "id", "unit", "cell", "region", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"))
+
+
+def _books(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data, np.float32).reshape(-1, width)
+    return both[:, : width // 2], both[:, width // 2 :]
+
+
+def _routes(asked: DataFrame, header: DataFrame, kind: str, width: int, exact: bool) -> DataFrame:
+    """A row for each region and slice that a query is answered from: collection, id, unit, kind, region, slice, cells."""
+    totals = asked.join(small(header.select("collection")), "collection", "left_semi").groupBy("collection").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    totals = small(cut(totals))
+    rows = asked.join(totals, "collection").select("collection", "id", "unit", "kind", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    copies = header.join(totals, "collection").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def route(key: tuple, table: pa.Table, head: pa.Table) -> pa.Table:
+        left, right = _books(head.column("books")[0].as_py(), width)
+        cells, total = head.column("cells")[0].as_py(), head.column("n")[0].as_py()
+        counts, region, slices = np.zeros(len(left) ** 2, np.int64), np.zeros(len(left) ** 2, np.int64), np.zeros(len(left) ** 2, np.int64)
+        for c in cells:
+            counts[c["cell"]], region[c["cell"]], slices[c["cell"]] = c["n"], c["region"], c["slices"]
+        at, regions, parts, lists = [], [], [], []
+        units = matrix(table.column("unit"), width)
+        for low in range(0, len(units), 4_096):
+            for i, mine in enumerate(traversals(units[low : low + 4_096], left, right, counts, total if exact else scan_target(total))):
+                groups: dict[tuple[int, int], list[int]] = {}
+                for c in mine:
+                    for part in range(slices[c]):
+                        groups.setdefault((int(region[c]), part), []).append(c)
+                for (r, part), own in groups.items():
+                    at.append(low + i)
+                    regions.append(r)
+                    parts.append(part)
+                    lists.append(own)
+        place = pa.array(at, pa.int64())
+        columns = {c: table.column(c).take(place) for c in ("collection", "id", "unit", "kind")}
+        return pa.table({**columns, "region": pa.array(regions, pa.int32()), "slice": pa.array(parts, pa.int32()), "cells": pa.array(lists, pa.list_(pa.int32()))})
+
+    rows, copies = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (rows, copies))
+    return rows.groupBy("collection", "block").cogroup(copies.groupBy("collection", "block")).applyInArrow(route, f"collection string, id {kind}, unit binary, kind string, region int, slice int, cells array<int>")
+
+
 def _flat_key(run):
     def call(key, vectors, queries):
         return run(tuple(x.as_py() for x in key), vectors, queries)

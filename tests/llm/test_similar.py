@@ -48,12 +48,14 @@ def test_search_without_a_target_is_exact():
 def test_traversal_yields_cells_in_the_order_of_their_sums():
     rng = np.random.default_rng(4)
     a, b, counts = rng.random(6), rng.random(6), rng.integers(0, 3, (6, 6))
-    cells = N.closest_cells(a, b, counts, 10**9)
+    i, j = np.argsort(a), np.argsort(b)
+    cells = N.closest_cells(a[i].tolist(), b[j].tolist(), i.tolist(), j.tolist(), counts.ravel().tolist(), 10**9)
     sums = [a[c // 6] + b[c % 6] for c in cells]
     assert sums == sorted(sums) and len(cells) == (counts > 0).sum()
 
 
-def test_recall_on_a_scanned_part():
+def test_recall_on_a_scanned_part(monkeypatch):
+    monkeypatch.setattr(N, "SCAN_ROWS", 500)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(60, 64))
     x = (centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 64))).astype(np.float32)
@@ -69,15 +71,15 @@ def test_best_columns_equals_sorting():
         assert np.sort(np.take_along_axis(s, N.best_columns(s, k), 1), 1) == pytest.approx(np.sort(s, 1)[:, -k:])
 
 
-@pytest.mark.parametrize("rows_per_shard", [10**6, 9])
-def test_neighbours_with_queries_copies_and_shards(spark, monkeypatch, rows_per_shard):
-    monkeypatch.setattr(N, "SHARD_ROWS", rows_per_shard)
-    monkeypatch.setattr(N, "BLOCK_ROWS", rows_per_shard)
+@pytest.mark.parametrize("scan,cell,region", [(10**6, 10**6, 10**6), (8, 4, 10**6), (8, 4, 6), (8, 10**6, 3)])  # no index; one region; several; slices of cells
+def test_neighbours_with_queries_copies_and_regions(spark, monkeypatch, scan, cell, region):
+    for name, value in (("SCAN_ROWS", scan), ("CELL_ROWS", cell), ("REGION_ROWS", region), ("BLOCK_ROWS", region)):
+        monkeypatch.setattr(N, name, value)
     data, _ = planted(sizes=(6, 4), loners=10)
     data += [("copy-b", data[0][1]), ("copy-a", data[0][1] * 3)]
     vectors = N.unit_vectors(frame(spark, data)).select("collection", "id", "unit")
     queries = N.unit_vectors(frame(spark, [("q", data[0][1]), (None, data[1][1])])).unionByName(N.unit_vectors(frame(spark, [("q2", data[0][1])], "other"))).select("collection", "id", "unit")
-    found = N.similar_vectors(vectors, queries, k=3)
+    found = N.similar_vectors(vectors, queries, k=3, exact=True)
     got = {}
     for r in found.collect():
         got.setdefault((r.kind, r.id), []).append((-round(r.similarity, 4), r.neighbour))
@@ -88,7 +90,7 @@ def test_neighbours_with_queries_copies_and_shards(spark, monkeypatch, rows_per_
         assert [s for s, _ in sorted(near)] == pytest.approx([s for s, _ in true], abs=2e-4)
     assert sorted(n for _, n in got["query", "q"]) == ["b0-00", "copy-a", "copy-b"]
     assert set(got) == {("vector", i) for i in x} | {("query", "q")}
-    pairs = N.pairs_at_least(N.similar_vectors(vectors, queries, k=3, at_least=0.999)).collect()
+    pairs = N.pairs_at_least(N.similar_vectors(vectors, queries, k=3, at_least=0.999, exact=True)).collect()
     assert len(pairs) == len(set(pairs)) == 6 and all(r.low_id < r.high_id for r in pairs)
 
 
