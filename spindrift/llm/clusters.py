@@ -107,14 +107,16 @@ def link(sums: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, thr
         root = step[root]
 
 
-def refit(units: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, member_cosine: float, least: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def refit(units: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, member_cosine: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Membership by the definition: (the cluster of each row or -1, its cosine to the mean), from a first ``root``.
 
-    A row's candidates are its own cluster and those of the rows it is linked to; it joins the nearest at or above ``member_cosine``."""
+    A row's candidates are its own cluster and those of the rows it is linked to; it joins the nearest at or above ``member_cosine``. Rounds go
+    on until the membership stays, or is one that was there before."""
     n = len(units)
+    seen: set[int] = set()
     ends, others = np.r_[a, b, np.arange(n)], np.r_[b, a, np.arange(n)]
     cosine = np.zeros(n)
-    for _ in range(rounds):
+    while True:
         used = np.flatnonzero(root >= 0)
         order = used[np.argsort(root[used], kind="stable")]
         names, first = np.unique(root[order], return_index=True)
@@ -138,7 +140,9 @@ def refit(units: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, mem
         now = np.full(n, -1)
         now[row[lead]] = names[cluster[lead]]
         cosine[row[lead]] = value[lead]
-        steady = (now == root).all()
+        state = hash(now.tobytes())
+        steady = (now == root).all() or state in seen
+        seen.add(state)
         root = now
         if steady:
             break
@@ -165,7 +169,7 @@ def _sorted(nodes: pa.Table, links: pa.Table) -> tuple[np.ndarray, np.ndarray, n
     return order, ids, *(np.searchsorted(ids, links.column(c).to_numpy()) for c in ("a", "b"))
 
 
-def _local(threshold: float, k: int, width: int, member_cosine: float, least: int, rounds: int):
+def _local(threshold: float, k: int, width: int, member_cosine: float, least: int):
     """Linkage and membership of one collection: its members with cluster and cosine."""
 
     def run(key: tuple, nodes: pa.Table, links: pa.Table) -> pa.Table:
@@ -179,7 +183,7 @@ def _local(threshold: float, k: int, width: int, member_cosine: float, least: in
             short = np.cumsum(linked) - 1
             root = np.arange(len(ids))
             root[some] = some[copies_first(units[some], short[a], short[b], threshold, k)]
-            root, cosine = refit(units, root, a, b, member_cosine, least, rounds)
+            root, cosine = refit(units, root, a, b, member_cosine, least)
         kept = np.flatnonzero(root >= 0)
         return pa.table({"collection": pa.repeat(key[0], len(kept)).cast(pa.string()), "id": pa.array(ids[kept], pa.int64()), "root": pa.array(ids[root[kept]], pa.int64()), "cosine": pa.array(cosine[kept])})
 
@@ -357,7 +361,7 @@ def cluster_means(members: DataFrame, width: int) -> DataFrame:
 
 
 def clusters(
-    vectors: DataFrame, threshold: float = 0.6, member_cosine: float = 0.72, least: int = 8, k: int = 10, width: int = 64, rounds: int = 6, local_nodes: int = LOCAL_NODES
+    vectors: DataFrame, threshold: float = 0.6, member_cosine: float = 0.72, least: int = 8, k: int = 10, width: int = 64, local_nodes: int = LOCAL_NODES
 ) -> DataFrame:
     """The clusters of ``vectors`` (collection, id string, unit): one row (collection, id, first_id, size, cosine) per member.
 
@@ -365,7 +369,7 @@ def clusters(
     A cluster has at least ``least`` members, each with a cosine of at least ``member_cosine`` to the mean of the members' unit
     vectors, and holds every vector of its collection near enough among the candidates described above. ``threshold`` is
     where linkage stops; the average cosine of a cluster's vector to its members is about ``member_cosine`` times the mean's
-    length, so it lies below that. Membership is refitted at most ``rounds`` times, until it stays. Vectors in no cluster and
+    length, so it lies below that. Membership is refitted until it stays, or repeats an earlier one. Vectors in no cluster and
     empty tables give no rows. Rows with a null collection or id are left out."""
     vectors = vectors.where(F.col("collection").isNotNull() & F.col("id").isNotNull())
     numbered = cut(vectors.select("collection", "unit", F.col("id").alias("name"), F.monotonically_increasing_id().alias("id")))
@@ -380,17 +384,17 @@ def clusters(
     inside = (
         usual[0].groupBy("collection")
         .cogroup(usual[1].groupBy("collection"))
-        .applyInArrow(_local(threshold, k, width, member_cosine, least, rounds), "collection string, id bigint, root bigint, cosine double")
+        .applyInArrow(_local(threshold, k, width, member_cosine, least), "collection string, id bigint, root bigint, cosine double")
     )
     if any_large:
         big = [x.join(small(large), "collection", "left_semi") for x in (nodes, links)]
-        inside = inside.unionByName(_large_members(*big, threshold, member_cosine, least, k, width, rounds, local_nodes))
+        inside = inside.unionByName(_large_members(*big, threshold, member_cosine, least, k, width, local_nodes))
     named = cut(inside).join(numbered.select("collection", "id", "name"), ["collection", "id"])
     sizes = named.groupBy("collection", "root").agg(F.count("*").alias("size"), F.min("name").alias("first_id")).where(F.col("size") >= least)
     return named.join(small(cut(sizes)), ["collection", "root"]).select("collection", F.col("name").alias("id"), "first_id", "size", "cosine")
 
 
-def _large_members(nodes: DataFrame, links: DataFrame, threshold: float, member_cosine: float, least: int, k: int, width: int, rounds: int, local_nodes: int) -> DataFrame:
+def _large_members(nodes: DataFrame, links: DataFrame, threshold: float, member_cosine: float, least: int, k: int, width: int, local_nodes: int) -> DataFrame:
     """What :func:`_local` does, for collections too large for one task: collection, id, root, cosine of the members."""
     keyed = nodes.withColumn("key", F.md5("unit"))
     groups = keyed.groupBy("collection", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
@@ -410,7 +414,8 @@ def _large_members(nodes: DataFrame, links: DataFrame, threshold: float, member_
     of_rep = root.select("collection", F.col("id").alias("rep"), "root")
     member = cut(copy.join(of_rep, ["collection", "rep"], "left").select("collection", "id", F.coalesce("root", "rep").alias("root")))
     near = links.unionByName(links.select("collection", F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(rounds):
+    seen: set = set()
+    while True:
         means = cut(cluster_means(nodes.join(member, ["collection", "id"]), width).where(F.col("size") >= (least + 1) // 2))
         of = member.select("collection", F.col("id").alias("b"), "root")
         options = near.join(of, ["collection", "b"]).select("collection", F.col("a").alias("id"), "root")
@@ -425,9 +430,11 @@ def _large_members(nodes: DataFrame, links: DataFrame, threshold: float, member_
         now = cut(fits.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place"))
         was = member.select("collection", "id", F.col("root").alias("was"))
         steady = not now.join(was, ["collection", "id"], "full").where("not (was <=> root)").limit(1).count()
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("collection", "id", "root").cast("decimal(38,0)"))).first()
         member = now.select("collection", "id", "root")
-        if steady:
+        if steady or tuple(state) in seen:
             break
+        seen.add(tuple(state))
     return now
 
 
