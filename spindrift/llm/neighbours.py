@@ -11,8 +11,8 @@ at most :data:`SCAN_ROWS` vectors is one cell.
 The cells are put together, in their order, to regions of about :data:`REGION_ROWS` entries, the unit of the shuffle: an entry goes to its
 region, a query to the regions of its cells only, with the list of these cells. A cell that is larger than a region is cut into slices by a hash of
 the id, and a region with many queries answers them in blocks of :data:`BLOCK_ROWS`, so that neither a hot collection nor a hot cell meets in one
-task. The answers of the regions are merged by rank. Codebooks and counts of a collection's cells travel beside its rows as one row per block,
-so that there may be any number of collections. Copies of a vector are scored once and expanded again.
+task. The answers of the regions are merged by rank. Codebooks and counts of cells go to every task while all together have at most
+:data:`HEADER_BYTES`; beyond, they travel beside the rows of their collection as one row per block. Copies of a vector are scored once and expanded again.
 
 Accuracy. What is lost are neighbours in cells beyond the scan target; ``exact`` scans all. README.md gives the recall measured against
 brute force. Similarities are exact (float32 products of unit vectors)."""
@@ -20,7 +20,7 @@ brute force. Similarities are exact (float32 products of unit vectors)."""
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ REGION_ROWS, BLOCK_ROWS = 131_072, 65_536
 SAMPLE_ROWS = 8_192
 #: Entries scanned for a query in a collection of at most that many vectors; beyond, the target grows as a power of the collection.
 SCAN_ROWS, SCAN_POWER = 8_192, 2 / 3
+#: Bytes of codebooks and counts of cells up to which they go to every task; beyond, they are joined to the rows by a shuffle.
+HEADER_BYTES = 32 << 20
 #: Entries of a cell on average, and most centroids of a half.
 CELL_ROWS, MOST_CENTROIDS = 256, 256
 
@@ -313,18 +315,19 @@ def similar_vectors(
     sizes = cut(vectors.groupBy("collection").agg(F.count("*").alias("n")))
     large = sizes.where(F.col("n") > SCAN_ROWS)
     entries = vectors.join(small(large), "collection", "left_anti").withColumn("cell", F.lit(0))
-    routed = asked.join(small(sizes.where(F.col("n") <= SCAN_ROWS)), "collection", "left_semi")
-    routed = routed.select("collection", "id", "unit", "kind", F.lit(0).alias("region"), F.lit(0).alias("slice"), F.array(F.lit(0)).alias("cells"))
+    whole = asked.join(small(sizes.where(F.col("n") <= SCAN_ROWS)), "collection", "left_semi")
+    whole = whole.select("collection", "id", "unit", "kind", F.lit(0).alias("region"), F.lit(0).alias("slice"), F.array(F.lit(0)).alias("cells"))
+    counted = whole.select("collection", "region", "slice")
     many = large.limit(1).count() > 0
+    entries = entries.select("collection", "id", "unit", "cell", F.lit(0).alias("region"), F.lit(0).alias("slice"))
+    routed = whole
     if many:
         header, indexed = _indexes(vectors, large, width)
-        entries = entries.select("collection", "id", "unit", "cell", F.lit(0).alias("region"), F.lit(0).alias("slice")).unionByName(indexed)
-        routed = routed.unionByName(_routes(asked, header, kind, width, exact))
-    else:
-        entries = entries.select("collection", "id", "unit", "cell", F.lit(0).alias("region"), F.lit(0).alias("slice"))
+        routes = cut(_routes(asked, header, kind, width, exact))
+        entries, routed = entries.unionByName(indexed), whole.unionByName(routes)
+        counted = counted.unionByName(routes.select("collection", "region", "slice"))
     place = ["collection", "region", "slice"]
-    routed = cut(routed)
-    blocks = cut(routed.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+    blocks = cut(counted.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
     left = entries.join(small(blocks), place).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = routed.join(small(blocks), place).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     left, right = (x.select(*[F.col(c).alias(c) for c in x.columns if c != "blocks"]) for x in (left, right))  # new columns, not a self-join
@@ -348,7 +351,6 @@ def _indexes(vectors: DataFrame, large: DataFrame, width: int) -> tuple[DataFram
     kind = dict(vectors.dtypes)["id"]
     picked = W.partitionBy("collection").orderBy(F.xxhash64("id"), "id")
     sample = rows.select("collection", "n", "unit", F.row_number().over(picked).alias("place")).where(F.col("place") <= SAMPLE_ROWS)
-
     scan, per_cell = SCAN_ROWS, CELL_ROWS
 
     def books(key: tuple, table: pa.Table) -> pa.Table:
@@ -357,16 +359,13 @@ def _indexes(vectors: DataFrame, large: DataFrame, width: int) -> tuple[DataFram
         return pa.table({"collection": [key[0].as_py()], "n": [n], "books": [np.concatenate(both, axis=1).astype(np.float32).tobytes()]})
 
     fitted = cut(sample.groupBy("collection").applyInArrow(books, "collection string, n bigint, books binary"))
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
 
-    def enter(key: tuple, table: pa.Table, book: pa.Table) -> pa.Table:
-        left, right = _books(book.column("books")[0].as_py(), width)
+    def enter(table: pa.Table, book: dict) -> pa.Table:
+        left, right = _books(book["books"], width)
         cell = cells_of(matrix(table.column("unit"), width), left, right) if len(table) else np.zeros(0, np.int64)
         return pa.table({"collection": table.column("collection"), "id": table.column("id"), "unit": table.column("unit"), "cell": pa.array(cell, pa.int32())})
 
-    blocked = rows.select(F.col("collection").alias("collection"), F.col("id").alias("id"), F.col("unit").alias("unit"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    copies = fitted.select("collection", "books", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    entered = cut(blocked.groupBy("collection", "block").cogroup(copies.groupBy("collection", "block")).applyInArrow(enter, f"collection string, id {kind}, unit binary, cell int"))
+    entered = cut(_beside(rows.select("collection", "id", "unit"), fitted, enter, f"collection string, id {kind}, unit binary, cell int"))
     order = W.partitionBy("collection").orderBy("cell")  # a row per cell
     cells = entered.groupBy("collection", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))
@@ -384,14 +383,9 @@ def _books(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _routes(asked: DataFrame, header: DataFrame, kind: str, width: int, exact: bool) -> DataFrame:
     """A row for each region and slice that a query is answered from: collection, id, unit, kind, region, slice, cells."""
-    totals = asked.join(small(header.select("collection")), "collection", "left_semi").groupBy("collection").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    totals = small(cut(totals))
-    rows = asked.join(totals, "collection").select("collection", "id", "unit", "kind", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    copies = header.join(totals, "collection").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def route(key: tuple, table: pa.Table, head: pa.Table) -> pa.Table:
-        left, right = _books(head.column("books")[0].as_py(), width)
-        cells, total = head.column("cells")[0].as_py(), head.column("n")[0].as_py()
+    def route(table: pa.Table, head: dict) -> pa.Table:
+        left, right = _books(head["books"], width)
+        cells, total = head["cells"], head["n"]
         counts, region, slices = np.zeros(len(left) ** 2, np.int64), np.zeros(len(left) ** 2, np.int64), np.zeros(len(left) ** 2, np.int64)
         for c in cells:
             counts[c["cell"]], region[c["cell"]], slices[c["cell"]] = c["n"], c["region"], c["slices"]
@@ -412,8 +406,34 @@ def _routes(asked: DataFrame, header: DataFrame, kind: str, width: int, exact: b
         columns = {c: table.column(c).take(place) for c in ("collection", "id", "unit", "kind")}
         return pa.table({**columns, "region": pa.array(regions, pa.int32()), "slice": pa.array(parts, pa.int32()), "cells": pa.array(lists, pa.list_(pa.int32()))})
 
-    rows, copies = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (rows, copies))
-    return rows.groupBy("collection", "block").cogroup(copies.groupBy("collection", "block")).applyInArrow(route, f"collection string, id {kind}, unit binary, kind string, region int, slice int, cells array<int>")
+    rows = asked.join(small(header.select("collection")), "collection", "left_semi").select("collection", "id", "unit", "kind")
+    return _beside(rows, header, route, f"collection string, id {kind}, unit binary, kind string, region int, slice int, cells array<int>")
+
+
+def _beside(rows: DataFrame, header: DataFrame, run: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
+    """``run`` over the rows of each collection with its row of ``header``: without a shuffle where the headers fit every task."""
+    cells = F.size("cells") if "cells" in header.columns else F.lit(0)
+    size = header.agg(F.sum(F.length("books") + 64 * cells)).first()[0] or 0
+    if size <= HEADER_BYTES:
+        shipped = rows.sparkSession.sparkContext.broadcast({h["collection"]: h for h in header.toArrow().to_pylist()})
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                for name in pc.unique(table.column("collection")).to_pylist():
+                    yield from run(table.filter(pc.equal(table.column("collection"), name)), shipped.value[name]).to_batches()
+
+        return rows.mapInArrow(each, schema)
+    counts = small(cut(rows.groupBy("collection").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))))
+    blocked = rows.join(counts, "collection").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    copies = header.join(counts, "collection").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    blocked, copies = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (blocked, copies))  # new columns, not a self-join
+
+    def both(key: tuple, table: pa.Table, head: pa.Table) -> pa.Table:
+        return run(table, head.to_pylist()[0])
+
+    whole = blocked.groupBy("collection", "block").cogroup(copies.groupBy("collection", "block"))
+    return whole.applyInArrow(both, schema)
 
 
 def _flat_key(run):

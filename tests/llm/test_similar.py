@@ -71,9 +71,10 @@ def test_best_columns_equals_sorting():
         assert np.sort(np.take_along_axis(s, N.best_columns(s, k), 1), 1) == pytest.approx(np.sort(s, 1)[:, -k:])
 
 
-@pytest.mark.parametrize("scan,cell,region", [(10**6, 10**6, 10**6), (8, 4, 10**6), (8, 4, 6), (8, 10**6, 3)])  # no index; one region; several; slices of cells
-def test_neighbours_with_queries_copies_and_regions(spark, monkeypatch, scan, cell, region):
-    for name, value in (("SCAN_ROWS", scan), ("CELL_ROWS", cell), ("REGION_ROWS", region), ("BLOCK_ROWS", region)):
+# no index; several regions, headers in every task and joined; slices of cells
+@pytest.mark.parametrize("scan,cell,region,header", [(10**6, 10**6, 10**6, 10**6), (8, 4, 6, 10**6), (8, 4, 6, 0), (8, 10**6, 3, 10**6)])
+def test_neighbours_with_queries_copies_and_regions(spark, monkeypatch, scan, cell, region, header):
+    for name, value in (("HEADER_BYTES", header), ("SCAN_ROWS", scan), ("CELL_ROWS", cell), ("REGION_ROWS", region), ("BLOCK_ROWS", region)):
         monkeypatch.setattr(N, name, value)
     data, _ = planted(sizes=(6, 4), loners=10)
     data += [("copy-b", data[0][1]), ("copy-a", data[0][1] * 3)]
